@@ -256,7 +256,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [target], "docs": [len(writer.ids)], "tokens": [sum(writer.sizes)]})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [target], "docs": [len(writer.ids)], "tokens": [sum(writer.sizes)]})
 
     rows = (
         docs.select("doc_id", whole_text().alias("text"))
