@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .mixing import mix_sql, mix_words
+from .sharding import shard_documents, shard_sql
 from .token_counts import token_counts
 from .token_frames import token_files
 
@@ -21,13 +23,21 @@ def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_words(table(spark, sf_dir, "documents")).drop("tie", "source")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_frames": op1_token_frames, "op10_token_counts": op10_token_counts}
+    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jump_shards": shard_sql(), "op4_mix": mix_sql()}
