@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .mixing import mix_sql, mix_words
+from .quality import quality
 from .sharding import shard_documents, shard_sql
 from .token_counts import token_counts
 from .token_frames import token_files
+from .toxicity import toxicity
 
 
 def _tokenizer(name: str) -> str:
@@ -31,12 +33,20 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_words(table(spark, sf_dir, "documents")).drop("tie", "source")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op10_token_counts": op10_token_counts}
+    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
