@@ -13,11 +13,17 @@ def fold(parts: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts, F.lit(0))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: Column, rows: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: Column, rows: int, once: bool = False) -> DataFrame:
     """label, text of at most ``rows`` labelled ids, chosen by a hash of the id among those that ``keep``.
 
-    An id labelled more than once counts with its largest label; null labels and ids are left out.
+    An id labelled more than once counts with its largest label; null labels and ids are left out. With ``once``, copies and near copies (two equal minima of word
+    hashes) count as one row, so that a text copied often teaches no more than another.
     """
     known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).where(keep)
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    if once:
+        words = F.split(F.lower("text"), r"\s+")
+        least = [F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in (1, 2)]
+        sample = sample.withColumn("_a", least[0]).withColumn("_b", least[1]).dropDuplicates(["_a", "_b"])
+    return sample.select("label", "text")
