@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import decontamination
 from .mixing import mix_sql, mix_words
 from .quality import quality
+from .secrets import secrets
 from .sharding import shard_documents, shard_sql
 from .token_counts import token_counts
 from .token_frames import token_files
@@ -33,6 +35,14 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_words(table(spark, sf_dir, "documents")).drop("tie", "source")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
+    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op6_secrets": op6_secrets, "op8_tiling": op8_tiling, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
