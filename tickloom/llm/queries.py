@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import decontamination
 from .mixing import mix_sql, mix_words
+from .near_dup import near_duplicates
 from .quality import quality
 from .secrets import secrets
 from .sharding import shard_documents, shard_sql
@@ -35,6 +36,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_words(table(spark, sf_dir, "documents")).drop("tie", "source")
 
 
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op6_secrets": op6_secrets, "op8_tiling": op8_tiling, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
+    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op5_dart_minhash": op5_dart_minhash, "op6_secrets": op6_secrets, "op8_tiling": op8_tiling, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
