@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontamination import decontamination
+from .fingerprints import fingerprints
 from .mixing import mix_sql, mix_words
 from .near_dup import near_duplicates
 from .quality import quality
@@ -32,6 +33,10 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_words(table(spark, sf_dir, "documents")).drop("tie", "source")
 
@@ -61,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op4_mix": op4_mix, "op5_dart_minhash": op5_dart_minhash, "op6_secrets": op6_secrets, "op8_tiling": op8_tiling, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
+    return {"op1_token_frames": op1_token_frames, "op2_jump_shards": op2_jump_shards, "op3_weighted_sampling": op3_weighted_sampling, "op4_mix": op4_mix, "op5_dart_minhash": op5_dart_minhash, "op6_secrets": op6_secrets, "op8_tiling": op8_tiling, "op7_toxicity": op7_toxicity, "op9_quality": op9_quality, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
