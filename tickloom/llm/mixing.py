@@ -142,8 +142,9 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, passes: int
     tied = docs.withColumn("_t", F.crc32(whole_text().cast("binary")))
     joined = tied.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_t") == F.col("_tie")))
     nth = F.row_number().over(Window.partitionBy("_id", "_source", "_tie").orderBy(F.lit(0)))
-    repeat = F.floor(F.col("_n") / F.col("_rows")).cast("int") + F.when(nth <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
-    return joined.withColumn("_k", F.explode(F.array_repeat(F.lit(0), repeat.cast("int")))).select(*docs.columns)
+    repeat = F.floor(F.col("_n") / F.col("_rows")).cast("int") + F.when(F.col("_nth") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
+    counted = joined.withColumn("_nth", nth).withColumn("_times", repeat.cast("int"))
+    return counted.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
 
 
 def mix_sql(block_words: int = BLOCK_WORDS, passes: int = PASSES) -> str:
