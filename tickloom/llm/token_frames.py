@@ -35,8 +35,8 @@ SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 #: Our document index sits in another skippable frame.
 INDEX = 0x184D2A50
-#: Entries kept by a worker for white-space parts and for single words.
-CACHE = 500_000
+#: Entries of one generation of a worker's parts and of its words; two generations are kept.
+CACHE = 400_000
 
 _ENCODERS: dict[tuple[str, int], "CachedEncoder"] = {}
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
@@ -68,34 +68,46 @@ class CachedEncoder:
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.parts: dict[str, bytes] = {"": b""}
         self.known: dict[str, bytes] = {"": b""}
+        self.old_parts: dict[str, bytes] = {}
+        self.old_known: dict[str, bytes] = {}
 
     def _learn_words(self, words: list[str]) -> None:
+        known = self.known
         for at in range(0, len(words), 1000):
             block = words[at : at + 1000]
             found = self.words.encode(block, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            starts = np.searchsorted(np.array(found.word_ids), np.arange(len(block) + 1))
-            for k, word in enumerate(block):
-                self.known[word] = ids[starts[k] : starts[k + 1]].tobytes()
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            starts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(block) + 1))).tolist()
+            for word, a, b in zip(block, starts, starts[1:]):
+                known[word] = raw[a:b]
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.parts) + len(new) > CACHE:
-            self.parts = {"": b""}
-        plain, rest = {}, []
+        """Fills ``parts`` for ``new``; what the generation before knew is taken over, not encoded again."""
+        parts, old = self.parts, self.old_parts
+        plain, rest = [], []
         for part in new:
-            m = _PLAIN.fullmatch(part)
-            if m:
-                plain[part] = (m[1].lower(), m[2])
+            if part in old:
+                parts[part] = old[part]
+            elif part.isascii() and part.isalpha():
+                plain.append((part, part.lower(), ""))
+            elif m := _PLAIN.fullmatch(part):
+                plain.append((part, m[1].lower(), m[2]))
             else:
                 rest.append(part)
-        missing = list({x for pair in plain.values() for x in pair if x not in self.known})
-        if len(self.known) + len(missing) > CACHE:
-            self.known = {"": b""}
-            missing = list({x for pair in plain.values() for x in pair if x})
-        self._learn_words(missing)
-        known, parts = self.known, self.parts
-        for part, (word, marks) in plain.items():
-            parts[part] = known[word] + known[marks]
+        if len(self.known) > CACHE:
+            self.old_known, self.known = self.known, {"": b""}
+        known, old = self.known, self.old_known
+        missing = set()
+        for _, word, marks in plain:
+            for x in (word, marks):
+                if x not in known:
+                    if x in old:
+                        known[x] = old[x]
+                    else:
+                        missing.add(x)
+        self._learn_words(list(missing))
+        for part, word, marks in plain:
+            parts[part] = known[word] + known[marks] if marks else known[word]
         for at in range(0, len(rest), 512):
             block = rest[at : at + 512]
             for part, found in zip(block, self.whole.encode_batch_fast(block, add_special_tokens=False), strict=True):
@@ -109,11 +121,11 @@ class CachedEncoder:
             return
         for at in range(0, len(texts), 256):
             split = [x.replace("\n", " ").split(" ") for x in texts[at : at + 256]]
-            new = set().union(*split).difference(self.parts)
+            if len(self.parts) > CACHE:
+                self.old_parts, self.parts = self.parts, {"": b""}
+            known = self.parts
+            new = {x for x in set().union(*split) if x not in known}
             if new:
-                if len(self.parts) + len(new) > CACHE:
-                    self.parts = {"": b""}
-                    new = set().union(*split)
                 self._learn(new)
             get = self.parts.__getitem__
             for x in split:
