@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 #: Bytes of one Arrow batch sent to a Python worker; rows of any length then fit its memory.
 BATCH_BYTES = 8 << 20
 
@@ -47,6 +49,7 @@ def partitions(spark: SparkSession) -> int:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so that very long texts cannot fill a worker."""
+    reachable(spark)
     now = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
     if now is None or int(now) > BATCH_BYTES or int(now) <= 0:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
