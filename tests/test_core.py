@@ -43,19 +43,18 @@ def test_interval(spark, cell):
     assert rows(got.select("k", "t", "i")) == sorted(((k, t, i) for k, t in points for q, i, a, b in spans if q == k and a <= t <= b), key=str)
 
 
-class Running(Kernel):
-    def __init__(self, key):
-        self.key, self.total = key, 0
-
-    def feed(self, pdf):
-        out = []
-        for v in pdf["v"]:
-            self.total += v
-            out.append((*self.key, self.total))
-        return pd.DataFrame(out, columns=["k", "s"])
+def test_fold_carries_state_across_batches(spark):
+    class Running(Kernel):
+        def __init__(self, key):
+            self.key, self.total = key, 0
 
+        def feed(self, pdf):
+            out = []
+            for v in pdf["v"]:
+                self.total += v
+                out.append((*self.key, self.total))
+            return pd.DataFrame(out, columns=["k", "s"])
 
-def test_fold_carries_state_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         data = [(k, i, i % 5) for k in ["a", "b", None] for i in range(40)]

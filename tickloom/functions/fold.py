@@ -14,6 +14,8 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..session import reachable
+
 
 class Kernel:
     """State of one key. ``feed`` gets its next rows in order; both methods return output rows or None."""
@@ -44,4 +46,5 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], kernel: Calla
         if state is not None and (out := state.end()) is not None and len(out):
             yield out
 
+    reachable(df.sparkSession)
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

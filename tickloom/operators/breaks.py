@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.windows import ordered
+from ..session import reachable
 
 
 def chow_dfc(df: DataFrame, keys: list[str], time: str, value: str, least: int) -> DataFrame:
@@ -60,6 +61,7 @@ def csw_cusum(df: DataFrame, keys: list[str], time: str, value: str, two_sided:
         best, critical = _Csw.run(pdf[value].to_numpy(float), two_sided)
         return pdf[[*keys, time]].assign(stat=best, critical=critical).dropna()
 
+    reachable(df.sparkSession)
     return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in [*keys, time]) + ", stat double, critical double")
 
 
@@ -104,6 +106,7 @@ def sadf(df: DataFrame, keys: list[str], time: str, value: str, least: int = 20,
         pdf = pdf.sort_values(time)
         return pdf[[*keys, time]].assign(sadf=adf_stats(pdf[value].to_numpy(float), least, model, phi)).dropna()
 
+    reachable(df.sparkSession)
     return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in [*keys, time]) + ", sadf double")
 
 
@@ -141,6 +144,7 @@ def fracdiff(df: DataFrame, keys: list[str], time: str, value: str, d: float, th
         out = np.fft.irfft(np.fft.rfft(w, size) * np.fft.rfft(x, size), size)[:n]
         return pdf[[*keys, time]].assign(fracdiff=out).iloc[skip:]
 
+    reachable(df.sparkSession)
     return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in [*keys, time]) + ", fracdiff double")
 
 
