@@ -149,8 +149,8 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) between representatives; ``signed(id, grams, bands)`` is saved."""
+def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between representatives and their components (id, label), from ``signed(id, grams, bands)``."""
     keyed = signed.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = saved(keyed.join(sizes, ["band", "key"]), "near-buckets")
