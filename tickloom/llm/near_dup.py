@@ -8,7 +8,7 @@ is its sign, and signs agree with the probability of the weighted Jaccard simila
 
 Copies of a text become one representative. Signs are cut into bands; representatives
 that share a band are candidates: all pairs in small buckets, pairs with a hub in large
-ones, again with other hubs while that joins classes that were apart. Every candidate
+ones, again with other hubs until a round joins no classes that were apart. Every candidate
 pair is checked by the exact Jaccard similarity of the shingle sets. Classes are the
 connected components of the links.
 
@@ -19,6 +19,7 @@ separate rows; extra columns are ignored; an empty table makes no row.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -34,8 +35,6 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Buckets of up to so many representatives give all their pairs.
 PAIRED = 8
-#: Further rounds with other hubs for buckets that still hold several classes.
-ROUNDS = 3
 #: A side of at most so many narrow rows is broadcast.
 SMALL_ROWS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +158,7 @@ def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     large = crowded.where(f"n > {PAIRED}")
     tested, links = None, None
     classes = None
-    for turn in range(ROUNDS):
+    for turn in itertools.count():  # each round but the last joins classes
         if turn:
             labelled = large.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
             apart = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
@@ -188,9 +187,10 @@ def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, copy, first (whether its row stands for the class), class_id (least id of the class), links.
+    """Per row: doc_id, copy, class_id (least id of the class), links, class, row.
 
-    ``links`` counts the other texts that the row's text is linked to; copies are not among them.
+    ``links`` counts the verified links of the row's text; in buckets worked by hubs not every pair is tried, and
+    copies are not among them.
     """
     signed = saved(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "near-signs")
     rows = signed.select("doc_id", "copy", "row")
