@@ -31,7 +31,7 @@ def close(a, b):
 
 
 def key(row):
-    return [(x is None, "" if x is None else (f"{float(x):020.3f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x))) for x in row]
+    return [(x is None, "" if x is None else (f"{float(x) + 0.0:020.3f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x))) for x in row]
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -103,9 +103,9 @@ def bar_dates_workflow(spark, sf):
     return bars.join(ad.label_bars(bars, ticks, ["symbol", "date"], 5.0, 4 * 3600 * 1_000_000, [1.0, 2.0, 4.0], least=5), ["symbol", "date", "bar"])
 
 
-@query("futures_roll", "x AS (SELECT symbol, t, CASE WHEN t // 86400 <> lag(t // 86400) OVER o THEN open - lag(close) OVER o ELSE 0 END AS s FROM b WINDOW o AS (PARTITION BY symbol ORDER BY t)) ||| SELECT symbol, t, round(sum(s) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) - sum(s) OVER (PARTITION BY symbol), 4) AS gap FROM x", "tb")
+@query("futures_roll", "x AS (SELECT symbol, t, CASE WHEN t // 86400 <> lag(t // 86400) OVER o THEN open - lag(close) OVER o ELSE 0 END AS s FROM b WINDOW o AS (PARTITION BY symbol ORDER BY t)) ||| SELECT symbol, t, round(sum(s) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) - sum(s) OVER (PARTITION BY symbol), 4) + 0 AS gap FROM x", "tb")
 def futures_roll(spark, sf):
-    return ad.futures_roll(src.bars(spark, sf).withColumn("contract", F.floor(F.col("t") / 86400)), KEY, "t", "contract").select("symbol", "t", _r("gap", 4))
+    return ad.futures_roll(src.bars(spark, sf).withColumn("contract", F.floor(F.col("t") / 86400)), KEY, "t", "contract").select("symbol", "t", (F.round("gap", 4) + 0.0).alias("gap"))
 
 
 @query("daily_vol")
