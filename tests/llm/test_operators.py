@@ -361,3 +361,21 @@ def test_pipeline(spark, tmp_path, labelled, docs):
     assert seen["near_duplicates"] - seen["decontamination"] == {2000}
     result = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in result} <= seen["decontamination"] and len(result) > 0
+
+
+def test_near_links_of_large_buckets_equal_brute_force(spark):
+    """Texts that share a passage fill large buckets; links between them are rare, and none is lost."""
+    rng = random.Random(8)
+    sets = []
+    for i in range(700):
+        rare = [10_000 + i * 100 + k for k in range(14)]
+        sets.append([*range(86), *rare])  # 0.754 to any other
+    for i in range(0, 80, 2):
+        sets[i + 1] = [*range(86), *sets[i][86:90], *sets[i + 1][90:]]  # 0.818 to the one before
+    rng.shuffle(sets)
+    rows = [(i, x, [1 if i < 600 else 2, i % 3]) for i, x in enumerate(sets)]  # one bucket takes several blocks
+    links, classes = near_dup.near_links(spark.createDataFrame(rows, "id long, grams array<int>, bands array<long>"))
+    own = [set(x) for x in sets]
+    want = {(a, b) for b in range(700) for a in range(b) if set(enumerate(rows[a][2])) & set(enumerate(rows[b][2])) and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
+    assert len(want) > 30 and {(r["a"], r["b"]) for r in links.collect()} == want
+    assert {(r["id"], r["label"]) for r in classes.collect()} == {x for a, b in want for x in ((a, a), (b, a))}

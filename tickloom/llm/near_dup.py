@@ -8,7 +8,8 @@ is its sign, and signs agree with the probability of the weighted Jaccard simila
 
 Copies of a text become one representative. Signs are cut into bands; representatives
 that share a band are candidates: all pairs in small buckets, pairs with a hub in large
-ones, again with other hubs until a round joins no classes that were apart. Every candidate
+ones, again with other hubs while rounds join many classes. In large buckets that then still
+hold several classes, all pairs across classes are compared, in salted blocks. Every candidate
 pair is checked by the exact Jaccard similarity of the shingle sets. Classes are the
 connected components of the links.
 
@@ -35,6 +36,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Buckets of up to so many representatives give all their pairs.
 PAIRED = 8
+#: Hub rounds end when fewer than this share of a round's pairs are links; representatives of one block of a large bucket.
+HUB_SHARE, BLOCK = 0.05, 256
 #: A side of at most so many narrow rows is broadcast.
 SMALL_ROWS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +151,52 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
             return labels
 
 
+def block_links(a: np.ndarray, b: np.ndarray, labels: np.ndarray, starts: np.ndarray, grams: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (x, y), x of ``a`` and y of ``b``, of different labels and at least that Jaccard similarity; set k is ``grams[starts[k]:starts[k + 1]]``."""
+    sizes = np.diff(starts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, code, seen = np.unique(grams, return_inverse=True, return_counts=True)
+    often = seen[code] > 1  # a shingle of one set is shared by none
+    _, code = np.unique(code[often], return_inverse=True)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[often][order]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
+        i, j = np.searchsorted(code, [low, low + width])
+        has = np.zeros((len(sizes), width), np.float32)
+        has[owner[i:j], code[i:j] - low] = 1
+        shared += has[a] @ has[b].T
+    near = shared >= similarity * (sizes[a][:, None] + sizes[b][None, :] - shared.astype(np.float64))
+    x, y = np.nonzero(near & (labels[a][:, None] != labels[b][None, :]))
+    return a[x], b[y]
+
+
+def apart_links(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different classes in one bucket of ``members(band, key, id, label)`` (saved): every such pair is compared.
+
+    A bucket's members are dealt to blocks, and each pair of blocks is one group. Buckets of equal members count once.
+    """
+    digest = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *digest)
+    sizes = saved(sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key")).alias("of")).select("of.band", "of.key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "near-sizes")
+    dealt = members.join(_small(sizes), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), "blocks"))
+    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label")
+    sets = saved(grams.join(_small(saved(members.select("id").distinct(), "near-ids")), "id", "left_semi"), "near-sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, ids, labels = (table.column(c).to_numpy() for c in ("own", "id", "label"))
+        lists = table.column("grams").combine_chunks()
+        starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        x, y = block_links(np.nonzero(own == own.min())[0], np.nonzero(own == own.max())[0], labels, starts, lists.flatten().to_numpy(), similarity)
+        x, y = ids[x], ids[y]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    bounded_batches(grams.sparkSession)
+    return tasks.join(sets, "id").groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between representatives and their components (id, label), from ``signed(id, grams, bands)``."""
     keyed = signed.select("id", F.posexplode("bands").alias("band", "key"))
@@ -155,35 +204,31 @@ def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     crowded = saved(keyed.join(sizes, ["band", "key"]), "near-buckets")
     few = crowded.where(f"n <= {PAIRED}").groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     every = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", F.lit(1), i), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = crowded.where(f"n > {PAIRED}")
-    tested, links = None, None
-    classes = None
-    for turn in itertools.count():  # each round but the last joins classes
-        if turn:
-            labelled = large.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            apart = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-            members = labelled.join(apart, ["band", "key"])
-        else:
-            members = large.withColumn("label", F.col("id"))
+    large = crowded.where(f"n > {PAIRED}").select("id", "band", "key")
+    crowds = large.limit(1).count()
+    grams = signed.select("id", "grams")
+    links = classes = None
+    members = large.withColumn("label", F.col("id"))
+    for turn in itertools.count():  # each round but the last joins many classes
         rank = F.xxhash64("id", "band", F.lit(turn))
         hubs = members.groupBy("band", "key").agg(F.min(F.struct(rank.alias("r"), F.col("id").alias("id"), F.col("label").alias("label"))).alias("hub"))
         hubs = hubs.select("band", "key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label"))
         pairs = members.join(hubs, ["band", "key"]).where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        pairs = (pairs.union(every) if not turn else pairs).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "near-pairs")
-        if turn and not pairs.limit(1).count():
-            break
-        found = saved(verified(pairs, signed.select("id", "grams"), similarity), "near-links")
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = saved((pairs if turn else pairs.union(every)).distinct(), "near-pairs")
+        found = saved(verified(pairs, grams, similarity), "near-links")
         links = found if links is None else links.union(found)
-        if turn and not found.limit(1).count():
-            break
         classes = components(links)
-        if not large.limit(1).count():
+        if not crowds:
+            return links, classes
+        labelled = large.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        apart = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
+        members = saved(labelled.join(apart, ["band", "key"]).select("band", "key", "id", "label"), "near-apart")
+        if not members.limit(1).count():
+            return links, classes
+        if found.count() < HUB_SHARE * pairs.count():
             break
-    return links, classes
+    links = links.union(saved(apart_links(members, grams, similarity), "near-apart-links"))
+    return links.distinct(), components(links)
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
