@@ -129,3 +129,33 @@ def test_portfolios():
     assert matrices.minimum_variance(cov) == pytest.approx([0.8, 0.2], abs=1e-6)
     assert [e[:2] for e in matrices.minimum_spanning_tree(np.array([[0, 1, 3], [1, 0, 2], [3, 2, 0.0]]))] == [(0, 1), (1, 2)]
     assert matrices.simplex(np.array([0.5, 0.5, 2.0])) == pytest.approx([0, 0, 1])
+
+
+def test_portfolios_step_at_every_bar(spark):
+    import os
+
+    from tickloom.plans.all_queries import QUERIES
+    from tickloom.sources import testdata
+
+    data = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    rows = matrices.relatives(testdata.bars(spark, data), ["symbol"], "t", "close").select("t").distinct().count()
+    for name in ("olps_bcrp", "olps_cwmr", "olps_corn"):
+        assert QUERIES[name](spark, data).count() == rows
+
+
+def test_pattern_matching_equals_pairwise_correlations():
+    import numpy as np
+
+    from tickloom.operators import extras
+
+    x = np.random.default_rng(4).uniform(0.9, 1.1, (40, 3))
+    w, wealth, want = np.full(3, 1 / 3), 1.0, []
+    for t in range(40):
+        wealth *= float(w @ x[t])
+        want.append(wealth)
+        if t + 1 > 5:
+            alike = [s for s in range(5, t + 1) if np.corrcoef(x[t - 4 : t + 1].ravel(), x[s - 5 : s].ravel())[0, 1] >= 0.1]
+            w = extras.best_constant(x[alike], 60) if alike else np.full(3, 1 / 3)
+    assert np.allclose(extras.pattern_matching(x), want)

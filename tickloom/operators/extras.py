@@ -113,13 +113,16 @@ def pattern_matching(x: np.ndarray, window: int = 5, rho: float = 0.1) -> np.nda
     """Wealth of correlation-driven pattern matching: the best constant weights over rows that followed similar windows."""
     n, k = x.shape
     w, wealth, out = np.full(k, 1 / k), 1.0, []
+    past = np.lib.stride_tricks.sliding_window_view(x, window, axis=0).reshape(-1, window * k) if n >= window else np.empty((0, window * k))
+    past = past - past.mean(1, keepdims=True)
+    size = np.sqrt((past**2).sum(1, keepdims=True))
+    past = np.divide(past, size, out=np.full_like(past, np.nan), where=size > 0)  # row s: the window before row s + window of x
     for t in range(n):
         wealth *= float(w @ x[t])
         out.append(wealth)
         if t + 1 > window:
-            now = x[t - window + 1 : t + 1].ravel()
-            alike = [s for s in range(window, t + 1) if np.std(x[s - window : s]) > 0 and np.std(now) > 0 and np.corrcoef(now, x[s - window : s].ravel())[0, 1] >= rho]
-            w = best_constant(x[alike], 60) if alike else np.full(k, 1 / k)
+            alike = window + np.nonzero(past[: t + 1 - window] @ past[t + 1 - window] >= rho)[0]
+            w = best_constant(x[alike], 60) if len(alike) else np.full(k, 1 / k)
     return np.array(out)
 
 
