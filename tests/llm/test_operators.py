@@ -379,3 +379,11 @@ def test_near_links_of_large_buckets_equal_brute_force(spark):
     want = {(a, b) for b in range(700) for a in range(b) if set(enumerate(rows[a][2])) & set(enumerate(rows[b][2])) and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])}
     assert len(want) > 30 and {(r["a"], r["b"]) for r in links.collect()} == want
     assert {(r["id"], r["label"]) for r in classes.collect()} == {x for a, b in want for x in ((a, a), (b, a))}
+
+
+def test_benchmark_items_without_an_id(spark):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(None, passage), (None, "alpha beta gamma delta epsilon zeta eta theta"), (3, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    rows = spark.createDataFrame([(0, f"before {passage} after"), (1, "alpha beta gamma delta epsilon zeta eta theta"), (2, "clean words only")], "doc_id long, text string")
+    got = {k: (r["contaminated"], r["item_id"], r["coverage"], r["items"]) for k, r in by_id(decontamination.decontamination(rows, bench)).items()}
+    assert got == {0: (True, None, 1.0, 1), 1: (True, 3, 1.0, 1), 2: (False, None, 0.0, 0)}

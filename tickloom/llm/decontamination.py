@@ -10,7 +10,8 @@ The benchmark is read in blocks of at most ``BLOCK_CHARS``: one block, as a rule
 larger benchmark takes several passes over the documents.
 
 Cases: null and empty documents and items match nothing; items shorter than a seed are
-one seed; items with equal words report the least item id; an empty benchmark leaves
+one seed; items with equal words report the least item id, a null one last; a document covered best by an item of
+null id reports a null id with its coverage; an empty benchmark leaves
 every document clean.
 """
 
@@ -71,11 +72,11 @@ def tile(a: list[int], b: list[int], least: int) -> list[tuple[int, int, int]]:
 class Benchmark:
     """Items of one block and the index of their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = SEED):
+    def __init__(self, items: list[tuple[int | None, str]], seed: int = SEED):
         self.seed = seed
-        known: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
-        for item_id, text in sorted(items, key=lambda x: x[0]):
+        known: dict[bytes, int | None] = {}
+        self.items: list[tuple[int | None, np.ndarray]] = []
+        for item_id, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0)):
             words = word_hashes(text or "")
             if len(words) and known.setdefault(words.tobytes(), item_id) == item_id:
                 self.items.append((item_id, words))
@@ -119,12 +120,12 @@ class Benchmark:
         return item, share, above
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL")
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // BLOCK_CHARS))
     for k in range(n):
-        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]
+        yield [(r[0], r[1]) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
 def tile_documents(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
@@ -153,5 +154,5 @@ def tile_documents(docs: DataFrame, benchmark: DataFrame, cover: float = COVER)
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """Per row: doc_id, contaminated, item_id (of the best cover, null if none), coverage, items."""
+    """Per row: doc_id, contaminated, item_id (of the best cover, null if none or if that item has none), coverage, items."""
     return tile_documents(docs.select("doc_id", "text"), benchmark, cover).select("doc_id", (F.col("coverage") >= cover).alias("contaminated"), "item_id", "coverage", "items")
