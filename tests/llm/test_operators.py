@@ -381,6 +381,18 @@ def test_near_links_of_large_buckets_equal_brute_force(spark):
     assert {(r["id"], r["label"]) for r in classes.collect()} == {x for a, b in want for x in ((a, a), (b, a))}
 
 
+def test_secrets_of_letters_or_digits_anywhere_in_the_line(spark):
+    key, digits, mixed = "qXvZkWjRtBnMpLsGhYdC", "7391846205518273649028", "q8Zx1Lw0Tn5Vr7Ys2Kd9Pb4M"
+    filler = "and the rest of this long line goes on with plain words about rivers and bridges "
+    texts = [f"bearer {key}", f"client secret is {digits}", f"{key} is the bearer value", f"token {filler}{filler}{mixed}", f"{filler}{key}", f"{key}\n{filler} token", "the token responsibilities of administrators"]
+    got = by_id(secrets.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i in range(4):
+        hidden = (key, digits, key, mixed)[i]
+        at = texts[i].index(hidden)
+        assert (i, got[i]["n_novel"], got[i]["spans"]) == (i, 1, f"novel:{at}:{at + len(hidden)}")
+    assert [got[i]["n_novel"] for i in (4, 5, 6)] == [0, 0, 0]
+
+
 def test_benchmark_items_without_an_id(spark):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     bench = spark.createDataFrame([(None, passage), (None, "alpha beta gamma delta epsilon zeta eta theta"), (3, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")

@@ -1,7 +1,7 @@
 """Secret scans with dictionary-primed zstandard novelty (operator 6).
 
 Base rules find assignments, access ids and long hexadecimal runs. Beside them, strings
-of key-like characters that follow a sensitive word are candidates: each is compressed
+of key-like characters in the line of a sensitive word, or soon after it, are candidates: each is compressed
 together with the text around it, under a dictionary of identifiers and code, and the
 bytes it adds are counted. A candidate that adds nearly as many bytes as random
 characters would is reported as ``novel``.
@@ -30,8 +30,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _SENSITIVE = re.compile(r"secret|token|bearer|authori[sz]ation|credential|passw|pwd|passphrase|private|signature|(?:api|access|account|auth|client|encryption|master|shared)[ _-]?(?:key|id)|_key|\bkey\b")
 _HINTS = ("secret", "token", "bearer", "authori", "credential", "passw", "pwd", "passphrase", "private", "signature", "key", "api", "access", "account", "auth", "client")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Plain words and identifiers, which in short texts add as many bytes as random letters.
+_WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[-_/+=])+")
 
-#: Characters after a sensitive word in which candidates lie, context compressed with them, least novelty.
+#: Characters after a sensitive word in which candidates lie beyond its line, context compressed with them, least novelty.
 REACH, CONTEXT, LEAST_BYTES, LEAST_SHARE = 64, 256, 9, 0.62
 
 #: Identifiers and code that prime the compressor; a corpus of one's own can take its place.
@@ -78,18 +80,30 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     if len(low) != len(text):  # a letter whose small form is longer: keep places
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     found: dict[int, tuple[int, int, int]] = {}
-    for word in _SENSITIVE.finditer(low):
-        limit = word.end() + REACH
-        for m in _CANDIDATE.finditer(text, word.end()):
-            start, end = m.span()
-            if start >= limit:
+    tried: set[tuple[int, int]] = set()
+
+    def measure(start: int, end: int) -> None:
+        if (start, end) in tried or _WORDS.fullmatch(text, start, end) or any(a < end and start < b for a, _, b in base):
+            return
+        tried.add((start, end))
+        n = novelty.added(text[max(0, start - CONTEXT) : start], text[start:end], text[end : end + CONTEXT])
+        if n >= LEAST_BYTES and n >= LEAST_SHARE * (end - start):
+            found[start] = (start, 3, end)
+
+    words = [m.span() for m in _SENSITIVE.finditer(low)]
+    line_end = -1
+    for k, (first, last) in enumerate(words):
+        if first >= line_end:  # the first word of its line: what stands before it
+            for m in _CANDIDATE.finditer(text, text.rfind("\n", 0, first) + 1, first):
+                measure(*m.span())
+        line_end = text.find("\n", last)
+        line_end = len(text) if line_end < 0 else line_end
+        limit = max(last + REACH, line_end)
+        after = words[k + 1][1] if k + 1 < len(words) else len(text)  # from there the next word goes on
+        for m in _CANDIDATE.finditer(text, last):
+            if m.start() >= min(limit, after):
                 break
-            s = m[0]
-            if start in found or any(a < end and start < b for a, _, b in base) or not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
-                continue
-            n = novelty.added(text[max(0, start - CONTEXT) : start], s, text[end : end + CONTEXT])
-            if n >= LEAST_BYTES and n >= LEAST_SHARE * len(s):
-                found[start] = (start, 3, end)
+            measure(*m.span())
     return sorted(found.values())
 
 
