@@ -13,7 +13,6 @@ import pytest
 
 from tickloom.llm import decontamination, fingerprints, mixing, near_dup, quality, secrets, sharding, token_counts, token_frames, toxicity
 from tickloom.llm.labelled import fold
-from tickloom.llm.words import shingles
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, item_id long, toxic_score string"
@@ -197,8 +196,16 @@ def test_fingerprints(docs, empty, texts):
     assert fingerprints.fingerprints(one).first()["near_next"] == 1.0
 
 
+def weighted_set(text):
+    """Shingles of five words, each as often as the bit length of its count."""
+    words = re.findall(r"\w+", (text or "").lower())
+    n = min(5, len(words))
+    counts = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else {}
+    return {(k, i) for k, c in counts.items() for i in range(c.bit_length())}
+
+
 def test_near_duplicates(docs, empty, texts):
-    sets = [set(shingles(t or "").tolist()) for t in texts]
+    sets = [weighted_set(t) for t in texts]
     label = list(range(len(texts)))
     for _ in range(len(texts)):
         for a in range(len(texts)):
@@ -381,6 +388,37 @@ def test_near_links_of_large_buckets_equal_brute_force(spark):
     assert {(r["id"], r["label"]) for r in classes.collect()} == {x for a, b in want for x in ((a, a), (b, a))}
 
 
+def test_template_group_classes_equal_brute_force(spark):
+    """Texts that share a template about 0.7 alike, a few pairs above 0.8: every class that brute force finds."""
+    rng = random.Random(12)
+    template = sentence(rng, 120).split()
+    texts = []
+    for i in range(160):
+        words = list(template)
+        words[(at := rng.randrange(0, 90)) : at + 22] = sentence(rng, 22).split()
+        texts.append(" ".join(words))
+        if i % 16 == 0:
+            words[3] = f"other{i}"
+            texts.append(" ".join(words))
+    texts += [texts[0] + " " + texts[0], " ".join(template), "again and again " * 40, "again and again " * 45]
+    sets = [weighted_set(t) for t in texts]
+    label = list(range(len(texts)))
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = by_id(near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert 10 < len(set(label)) < len(texts) - 10
+    assert [got[i]["class_id"] for i in range(len(texts))] == label
+
+
+def test_near_duplicates_keep_clashing_columns(spark):
+    rows = [(1, "one two three four five six", "a", 1, 2), (2, "one two three four five six", "b", 3, 4), (3, "something else", "c", 5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, key int, other_id int")
+    assert sorted(map(tuple, near_dup.without_near_duplicates(docs).collect()))[1] == rows[2]
+    assert sorted(r["_id"] for r in near_dup.without_near_duplicates(docs).collect()) == ["a", "c"]
+
+
 def test_secrets_of_letters_or_digits_anywhere_in_the_line(spark):
     key, digits, mixed = "qXvZkWjRtBnMpLsGhYdC", "7391846205518273649028", "q8Zx1Lw0Tn5Vr7Ys2Kd9Pb4M"
     filler = "and the rest of this long line goes on with plain words about rivers and bridges "

@@ -1,21 +1,25 @@
 """Near-duplicate classes by DartMinHash and banded joins (operator 5).
 
-Each shingle (five lower-case words) throws hashed darts: a Poisson process in time over
+Each shingle (five lower-case words) weighs the bit length of its count in the text: 1,
+2 from two occurrences, 3 from four. It throws hashed darts: a Poisson process in time over
 its weight, in strips of doubling width, so that any two documents see the same darts of
 a common shingle. Darts below the weight and before a time that yields about
 ``k (ln k + 4)`` of them are dealt to ``k`` coordinates; the earliest of a coordinate
 is its sign, and signs agree with the probability of the weighted Jaccard similarity.
 
 Copies of a text become one representative. Signs are cut into bands; representatives
-that share a band are candidates: all pairs in small buckets, pairs with a hub in large
-ones, again with other hubs while rounds join many classes. In large buckets that then still
-hold several classes, all pairs across classes are compared, in salted blocks. Every candidate
-pair is checked by the exact Jaccard similarity of the shingle sets. Classes are the
-connected components of the links.
+that share a band are candidates: all pairs in small buckets; in large ones pairs with a
+hub, again with other hubs while rounds join many classes, and then, in every bucket that
+still holds several classes, each member outside the largest class with all members of
+other classes, in salted blocks. Every candidate pair is checked by the weighted Jaccard
+similarity, worked out from 32-bit hashes (a shingle of weight ``w`` is ``w`` numbered
+elements, so that the weighted similarity is that of plain sets). Classes are the
+connected components of the links: the same as if all pairs of every bucket were checked.
 
 Cases: null and empty texts are copies of each other; texts under five words are one
 shingle; a null id joins the class of its text; equal ids of different texts are
-separate rows; extra columns are ignored; an empty table makes no row.
+separate rows; other columns pass through or are ignored, whatever their names; an empty
+table makes no row.
 """
 
 from __future__ import annotations
@@ -29,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved, whole_text
+from .common import bounded_batches, saved, unused, whole_text
 from .words import mix, shingles
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Buckets of up to so many representatives give all their pairs.
 PAIRED = 8
-#: Hub rounds end when fewer than this share of a round's pairs are links; representatives of one block of a large bucket.
-HUB_SHARE, BLOCK = 0.05, 256
+#: Hub rounds end when fewer than this share of a round's pairs are links.
+HUB_SHARE = 0.05
+#: Most representatives and, about, shingles in one block of a large bucket; shingles of more members of a block count by matrix products.
+BLOCK, BLOCK_GRAMS, DENSE = 1024, 1_000_000, 48
 #: A side of at most so many narrow rows is broadcast.
 SMALL_ROWS = 500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -94,17 +100,31 @@ def bands(signs: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def weighted_shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles and their weights: the bit lengths of their counts."""
+    own, counts = shingles(text, words, counted=True)
+    return own, np.frexp(counts.astype(np.float64))[1].astype(np.int64)
+
+
+def numbered(elements: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Distinct 32-bit hashes of (element, i) for i below its weight."""
+    nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    spread = np.repeat(elements, weights) + nth.astype(np.uint64) * _STEP
+    spread[nth > 0] = mix(spread[nth > 0])
+    return np.unique((spread >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
 def signatures(docs: DataFrame, words: int = WORDS, n: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, copy (md5 of the text), grams (array<int>: distinct shingles), bands (array<long>)."""
+    """doc_id, copy (md5 of the text), grams (array<int>: weighted shingles as numbered elements), bands (array<long>)."""
     bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, keys = [], []
             for text in batch.column(2).to_pylist():
-                own = shingles(text, words)
-                keys.append(bands(dart_signs(own, k=n * rows), n, rows).view(np.int64))
-                grams.append(np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+                own, weights = weighted_shingles(text, words)
+                keys.append(bands(dart_signs(own, weights, n * rows), n, rows).view(np.int64))
+                grams.append(numbered(own, weights))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in grams])]).astype(np.int32)
             flat = np.concatenate(grams) if grams else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -154,18 +174,26 @@ def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def block_links(a: np.ndarray, b: np.ndarray, labels: np.ndarray, starts: np.ndarray, grams: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Rows (x, y), x of ``a`` and y of ``b``, of different labels and at least that Jaccard similarity; set k is ``grams[starts[k]:starts[k + 1]]``."""
     sizes = np.diff(starts)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
     _, code, seen = np.unique(grams, return_inverse=True, return_counts=True)
-    often = seen[code] > 1  # a shingle of one set is shared by none
-    _, code = np.unique(code[often], return_inverse=True)
     order = np.argsort(code, kind="stable")
-    code, owner = code[order], owner[often][order]
+    owner, first = owner[order], np.concatenate([[0], np.cumsum(seen)[:-1]])
+    left, right = np.full(n, -1), np.full(n, -1)
+    left[a], right[b] = np.arange(len(a)), np.arange(len(b))
     shared = np.zeros((len(a), len(b)), np.float32)
-    width = 4096
-    for low in range(0, int(code[-1]) + 1 if len(code) else 0, width):
-        i, j = np.searchsorted(code, [low, low + width])
-        has = np.zeros((len(sizes), width), np.float32)
-        has[owner[i:j], code[i:j] - low] = 1
+    for f in range(2, DENSE + 1):  # a shingle of one set is shared by none
+        at = first[seen == f]
+        for part in np.array_split(at, max(1, len(at) * f * f // 4_000_000)):
+            who = owner[part[:, None] + np.arange(f)]
+            x, y = np.broadcast_arrays(left[who][:, :, None], right[who][:, None, :])
+            inside = (x >= 0) & (y >= 0)
+            shared += np.bincount(x[inside] * len(b) + y[inside], minlength=shared.size).reshape(shared.shape)
+    often = np.nonzero(seen > DENSE)[0]
+    for part in np.array_split(often, -(-len(often) // 2048)) if len(often) else []:
+        has = np.zeros((n, len(part)), np.float32)
+        for k, c in enumerate(part):
+            has[owner[first[c] : first[c] + seen[c]], k] = 1
         shared += has[a] @ has[b].T
     near = shared >= similarity * (sizes[a][:, None] + sizes[b][None, :] - shared.astype(np.float64))
     x, y = np.nonzero(near & (labels[a][:, None] != labels[b][None, :]))
@@ -173,23 +201,32 @@ def block_links(a: np.ndarray, b: np.ndarray, labels: np.ndarray, starts: np.nda
 
 
 def apart_links(members: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different classes in one bucket of ``members(band, key, id, label)`` (saved): every such pair is compared.
+    """Links (a, b) between different classes in one bucket of ``members(band, key, id, label, size)`` (saved): every such pair is compared.
 
-    A bucket's members are dealt to blocks, and each pair of blocks is one group. Buckets of equal members count once.
+    Members outside a bucket's largest class are dealt to blocks, those of the largest to others; each pair of blocks
+    but those of the largest class alone is one group. Buckets of equal members count once.
     """
-    digest = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
-    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), *digest)
-    sizes = saved(sizes.groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key")).alias("of")).select("of.band", "of.key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "near-sizes")
-    dealt = members.join(_small(sizes), ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), "blocks"))
-    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label")
+    digest = [F.bit_xor(F.xxhash64("id", F.lit(k))) for k in (0, 1)]
+    by_class = members.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), digest[0].alias("x0"), digest[1].alias("x1"))
+    whole = [F.sum("n").alias("n"), F.sum("size").alias("size"), F.bit_xor("x0").alias("x0"), F.bit_xor("x1").alias("x1"), F.max(F.struct("n", "label", "size")).alias("most")]
+    sizes = by_class.groupBy("band", "key").agg(*whole).groupBy("n", "x0", "x1").agg(F.min(F.struct("band", "key", "size", "most")).alias("of"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_GRAMS, F.lit(1.0)))
+    apart = blocks(F.col("n") - F.col("of.most.n"), F.col("of.size") - F.col("of.most.size"))
+    sizes = saved(sizes.select("of.band", "of.key", F.col("of.most.label").alias("most"), apart.alias("apart"), blocks(F.col("of.most.n"), F.col("of.most.size")).alias("together")), "near-sizes")
+    place = lambda n: F.pmod(F.xxhash64("id", F.lit("block")), n)
+    inner = F.col("label") == F.col("most")
+    dealt = members.join(_small(sizes), ["band", "key"]).withColumn("own", F.when(inner, F.col("apart") + place("together")).otherwise(place("apart")))
+    tasks = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(inner, F.col("apart")).otherwise(F.col("apart") + F.col("together")) - 1)))
+    tasks = tasks.select("band", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "label")
     sets = saved(grams.join(_small(saved(members.select("id").distinct(), "near-ids")), "id", "left_semi"), "near-sets")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         own, ids, labels = (table.column(c).to_numpy() for c in ("own", "id", "label"))
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         lists = table.column("grams").combine_chunks()
         starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        x, y = block_links(np.nonzero(own == own.min())[0], np.nonzero(own == own.max())[0], labels, starts, lists.flatten().to_numpy(), similarity)
+        x, y = block_links(np.nonzero(own == lo)[0], np.nonzero(own == hi)[0], labels, starts, lists.flatten().to_numpy(), similarity)
         x, y = ids[x], ids[y]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -199,12 +236,12 @@ def apart_links(members: DataFrame, grams: DataFrame, similarity: float) -> Data
 
 def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between representatives and their components (id, label), from ``signed(id, grams, bands)``."""
-    keyed = signed.select("id", F.posexplode("bands").alias("band", "key"))
+    keyed = signed.select("id", F.size("grams").alias("size"), F.posexplode("bands").alias("band", "key"))
     sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = saved(keyed.join(sizes, ["band", "key"]), "near-buckets")
     few = crowded.where(f"n <= {PAIRED}").groupBy("band", "key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     every = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", F.lit(1), i), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("p")).select("p.a", "p.b")
-    large = crowded.where(f"n > {PAIRED}").select("id", "band", "key")
+    large = crowded.where(f"n > {PAIRED}").select("id", "band", "key", "size")
     crowds = large.limit(1).count()
     grams = signed.select("id", "grams")
     links = classes = None
@@ -222,7 +259,7 @@ def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             return links, classes
         labelled = large.join(classes, "id", "left").withColumn("label", F.coalesce("label", "id"))
         apart = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band", "key")
-        members = saved(labelled.join(apart, ["band", "key"]).select("band", "key", "id", "label"), "near-apart")
+        members = saved(labelled.join(apart, ["band", "key"]).select("band", "key", "id", "label", "size"), "near-apart")
         if not members.limit(1).count():
             return links, classes
         if found.count() < HUB_SHARE * pairs.count():
@@ -232,28 +269,23 @@ def near_links(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Per row: doc_id, copy, class_id (least id of the class), links, class, row.
-
-    ``links`` counts the verified links of the row's text; in buckets worked by hubs not every pair is tried, and
-    copies are not among them.
-    """
+    """Per row: doc_id, copy, class_id (least id of the class), class, row."""
     signed = saved(signatures(docs).withColumn("row", F.monotonically_increasing_id()), "near-signs")
     rows = signed.select("doc_id", "copy", "row")
     copies = saved(rows.groupBy("copy").agg(F.min("row").alias("id"), F.min("doc_id").alias("least")), "near-copies")
     rows = saved(rows.join(copies, "copy"), "near-rows")
     own = signed.join(_small(saved(rows.where("row <> id").select("row"), "near-again")), "row", "left_anti")
-    links, classes = near_links(own.select(F.col("row").alias("id"), "grams", "bands"), similarity)
+    _, classes = near_links(own.select(F.col("row").alias("id"), "grams", "bands"), similarity)
     named = classes.join(copies, "id")
     lowest = named.groupBy("label").agg(F.min("least").alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    linked = named.join(lowest, "label").join(degree, "id").select("id", "label", "class_id", "links")
+    linked = named.join(lowest, "label").select("id", "label", "class_id")
     known = rows.join(linked, "id", "left")
-    return known.select("doc_id", "copy", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("label", "id").alias("class"), "row")
+    return known.select("doc_id", "copy", F.coalesce("class_id", "least").alias("class_id"), F.coalesce("label", "id").alias("class"), "row")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, class_id, links."""
-    return near_classes(docs).select("doc_id", "class_id", "links")
+    """Per row: doc_id, class_id."""
+    return near_classes(docs).select("doc_id", "class_id")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -262,9 +294,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "copy", "row")).alias("best"))
     gone = saved(found.join(best, "class").where("row <> best.row").select("doc_id", "copy", "class", F.col("best.doc_id").alias("best_id"), F.col("best.copy").alias("best_copy")), "near-gone")
     twin = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("copy") == F.col("best_copy"))
-    other = saved(gone.where(~twin).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy")).distinct(), "near-others")
-    keyed = docs.withColumn("_key", F.unhex(F.md5(whole_text().cast("binary"))))
-    kept = keyed.join(_small(other), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_copy")), "left_anti")
+    key, other_id, other_key = unused(docs, "key", "other_id", "other_key")
+    other = saved(gone.where(~twin).select(F.col("doc_id").alias(other_id), F.col("copy").alias(other_key)).distinct(), "near-others")
+    keyed = docs.withColumn(key, F.unhex(F.md5(whole_text().cast("binary"))))
+    kept = keyed.join(_small(other), F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(key) == F.col(other_key)), "left_anti")
     if gone.where(twin).limit(1).count():  # rows repeated whole: equal id and equal text
-        kept = kept.dropDuplicates(["doc_id", "_key"])
+        kept = kept.dropDuplicates(["doc_id", key])
     return kept.select(*docs.columns)

@@ -48,7 +48,7 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
-def shingles(text: str, n: int = 5) -> np.ndarray:
-    """Hashes of the shingles of ``n`` words, sorted and distinct; a shorter text is one shingle."""
+def shingles(text: str, n: int = 5, counted: bool = False):
+    """Hashes of the shingles of ``n`` words, sorted and distinct (``counted``: and their counts); a shorter text is one shingle."""
     words = word_hashes(text)
-    return np.unique(mix(windows(words, min(n, len(words))))) if len(words) else np.empty(0, np.uint64)
+    return np.unique(mix(windows(words, min(n, len(words)))) if len(words) else np.empty(0, np.uint64), return_counts=counted)
