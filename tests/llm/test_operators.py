@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -266,17 +267,128 @@ def test_tiling():
     assert decontamination.tile(a, b, 3) == [(7, 0, 8)]
     assert sorted(decontamination.tile([6, 7, 8, 0, 1, 2, 3, 4], [1, 2, 3, 4, 6, 7, 8], 3)) == [(0, 4, 3), (4, 0, 4)]
     rng = random.Random(3)
-    for _ in range(200):
-        x, y = [rng.randint(1, 3) for _ in range(rng.randint(0, 25))], [rng.randint(1, 3) for _ in range(rng.randint(1, 25))]
-        tiles = decontamination.tile(x, y, 3)
-        used_x, used_y = [], []
-        for i, j, n in tiles:
-            assert n >= 3 and x[i : i + n] == y[j : j + n]
-            used_x += range(i, i + n)
-            used_y += range(j, j + n)
-        assert len(set(used_x)) == len(used_x) and len(set(used_y)) == len(used_y)
-        runs = {k: max((n for i in range(len(x)) for j in range(len(y)) for n in range(1, 26) if x[i : i + n] == y[j : j + n] and i + n <= len(x) and j + n <= len(y)), default=0) for k in (0,)}
-        assert max((t[2] for t in tiles), default=0) == (runs[0] if runs[0] >= 3 else 0)
+    for _ in range(400):
+        x, y = [rng.randint(0, 4) for _ in range(rng.randint(0, 20))], [rng.randint(1, 4) for _ in range(rng.randint(1, 15))]
+        assert sorted(decontamination.tile(x, y, 3)) == sorted(plain_tiles(x, y, 3))
+
+
+def plain_tiles(a, b, least):
+    """Greedy string tiling letter by letter: all runs of the greatest length from left to right, then the next length."""
+    used_a, used_b, tiles = [v == 0 for v in a], [v == 0 for v in b], []
+    while True:
+        best = 0
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
+                    n += 1
+                best = max(best, n)
+        if best < least:
+            return tiles
+        for i in range(len(a) - best + 1):
+            for j in range(len(b) - best + 1):
+                if a[i : i + best] == b[j : j + best] and not any(used_a[i : i + best]) and not any(used_b[j : j + best]):
+                    used_a[i : i + best] = used_b[j : j + best] = [True] * best
+                    tiles.append((i, j, best))
+                    break
+
+
+def test_junk_texts_take_linear_time():
+    began = time.process_time()
+    own = decontamination.Benchmark([(1, "word " * 2000), (2, "word other " * 500)])
+    assert own.best("word " * 20_000, 0.5)[:2] == (1, 1.0)
+    novelty = secrets.Novelty()
+    for text in ("token key " * 100_000, "secret " + "a" * 200_000 + "1", "tokentoken" * 100_000, "token=x " * 100_000, "key_" * 200_000):
+        secrets.scan(text, novelty)
+    assert time.process_time() - began < 10
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = random.Random(4)
+    item = sentence(rng, 30)
+    bench = spark.createDataFrame([(9 - i, item.upper() if i % 2 else item) for i in range(8)] + [(20, item + " more"), (None, sentence(rng, 30))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, item, 7, 0.25), (1, item, 7, 0.25), (None, "clean", None, 1.0)], "doc_id long, text string, _id long, score double")
+    whole, parts = (sorted(map(tuple, decontamination.tile_documents(docs, bench, block_chars=n).collect()), key=str) for n in (10**9, 150))
+    assert whole == parts == [(1, item, 7, 0.25, 2, 1.0, 2), (1, item, 7, 0.25, 2, 1.0, 2), (None, "clean", None, 1.0, None, 0.0, 0)]
+    with pytest.raises(ValueError):
+        decontamination.tile_documents(docs.withColumn("ITEMS", docs["_id"]), bench)
+
+
+def plain_secrets(text):
+    """The base rules, character by character."""
+    spans, n = [], len(text)
+    small = lambda c: c.lower() if c.isascii() else c
+    low = "".join(map(small, text))
+    i = 0
+    while i < n:
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, i):
+                j = i + len(name)
+                j += j < n and text[j] in "\"'"
+                while j < n and text[j] == " ":
+                    j += 1
+                if j < n and text[j] in ":=":
+                    j += 1
+                    while j < n and text[j] == " ":
+                        j += 1
+                    j += j < n and text[j] in "\"'"
+                    k = j
+                    while k < n and (text[k].isascii() and text[k].isalnum() or text[k] in "+/_.=-"):
+                        k += 1
+                    if k > j:
+                        if k - j >= 6:
+                            spans.append((i, 0, k))
+                        i = k - 1
+                        break
+        i += 1
+    for kind, head, inside, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+        i = 0
+        while i < n:
+            k = i + len(head)
+            while text.startswith(head, i) and k < n and text[k] in inside:
+                k += 1
+            if k > i + len(head) and k - i >= least:
+                spans.append((i, kind, k))
+            i = max(k, i + 1) if k > i + len(head) else i + 1
+    return sorted(spans)
+
+
+def test_base_spans_equal_plain_scan():
+    rng = random.Random(6)
+    pieces = ["password", "PassWD", "secret", "Token", "api_key", "APIKEY", "apikeys", " ", "  ", ":", "=", "'", '"', "abc", "Z9+/_.=-", "AKIA", "ABCDEF123456", "0123456789abcdef", "deadbeef", "é", "ſ", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
+        assert secrets.base_spans(text) == plain_secrets(text), text
+
+
+def test_novelty_is_the_bytes_a_candidate_adds(spark):
+    """Spans of the scan are those whose compressed surroundings grow enough, worked out here with fresh compressors."""
+    import zstandard
+
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows = []
+    for i in range(60):
+        value = "".join(rng.choice(letters) for _ in range(rng.randint(12, 32))) if i % 2 else "some_identifier" * 2
+        rows.append((i, f"{sentence(rng, 8)}\nthe bearer value is {value}, {sentence(rng, 5)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dictionary = secrets.corpus_dictionary(docs)
+    assert dictionary.startswith(secrets.DICTIONARY)
+    got = by_id(secrets.secrets(docs))
+    primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x.encode()))
+    for i, text in rows:
+        base, want = plain_secrets(text), []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{12,}", text):
+            if text.rfind("\n", 0, m.start()) < text.find("bearer") and m.start() < text.find("bearer"):
+                continue
+            around = text[max(0, m.start() - 256) : m.start()] + text[m.end() : m.end() + 256]
+            grown = size(around + m[0]) - size(around)
+            plain = re.fullmatch(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{3,}|[-_/+=])+", m[0])
+            if not plain and grown >= 9 and grown >= 0.62 * len(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
+                want.append((m.start(), 3, m.end()))
+        assert got[i]["spans"] == secrets.joined(sorted(base + want)), text
+    assert sum(r["n_novel"] for r in got.values()) >= 25
 
 
 def test_decontamination(spark, docs, empty, texts):
