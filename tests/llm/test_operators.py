@@ -192,11 +192,63 @@ def test_fingerprints(docs, empty, texts):
         error.append(r["near_edited"] - generalised_jaccard(text, edited))
     assert abs(float(np.mean(error))) < 0.03 and max(map(abs, error)) < 0.35
     assert got[9]["fingerprint"] == got[180]["fingerprint"] == got[183]["fingerprint"]
+    assert all(len(got[i * 3]["fingerprint"]) == 8 * 64 * bool((t or "").split()) for i, t in enumerate(texts))
     assert fingerprints.fingerprints(empty).count() == 0
     one = docs.where("doc_id = 9")
     assert fingerprints.fingerprints(one).first()["near_next"] == 1.0
 
 
+def test_samples_equal_their_definition(spark):
+    """Draws, least terms and borrowed bins, worked out one by one from Spark's hashes."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = [sentence(rng, n) for n in (2, 3, 9, 40, 400)] + ["w " * 50 + "x", "one"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.fingerprint(F.col("t")).alias("f")).collect()
+    terms = [list(zip(w, w[1:])) if len(w) > 1 else [tuple(w)] for w in (t.split() for t in texts)]
+    flat = sorted({x for ts in terms for x in ts})
+    pairs = spark.createDataFrame([(i, x[0], x[1] if len(x) > 1 else None) for i, x in enumerate(flat)], "i int, a string, b string")
+    h = F.when(F.col("b").isNull(), F.xxhash64("a")).otherwise(F.xxhash64("a", "b"))
+    drawn = {flat[r["i"]]: r for r in pairs.withColumn("h", h).select("i", "h", F.xxhash64("h", F.lit(11)).alias("p"), F.xxhash64("h", F.lit(13)).alias("q")).collect()}
+    unit = lambda x, shift: (((x % 2**64) >> shift & 0x1FFFFF) + 0.5) / 2**21
+    times = {}
+    for ts in terms:
+        for x, n in Counter(ts).items():
+            d = drawn[x]
+            r = -math.log(unit(d["p"], 0) * unit(d["p"], 21))
+            times[x, n] = math.floor(math.log(1 + math.log(n)) / r + unit(d["q"], 21)), r
+    keys = spark.createDataFrame([(drawn[x]["h"], t, i) for i, ((x, n), (t, _)) in enumerate(times.items())], "h long, t long, i int")
+    codes = dict(zip(times, [r["c"] % 2**24 for r in keys.select("i", F.xxhash64("h", "t").alias("c")).orderBy("i").collect()], strict=True))
+    for row, ts in zip(got, terms, strict=True):
+        bins = {}
+        for x, n in Counter(ts).items():
+            d, (t, r) = drawn[x], times[x, n]
+            k = (d["h"] >> 58) + 32
+            rank = math.log(-math.log(unit(d["p"], 42) * unit(d["q"], 0))) - r * (t - unit(d["q"], 21) + 1)
+            bins[k] = min(bins.get(k, (math.inf, 0)), (rank, codes[x, n]))
+        want = []
+        for i in range(64):
+            k = next(j % 64 for j in range(i, i + 64) if j % 64 in bins)
+            want.append((k << 24) + bins[k][1])
+        assert [c % 2**32 for c in row["f"]] == want
+
+
+def test_next_document_of_sparse_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", 8)
+    rng = random.Random(2)
+    rows = [(i, f"text {i}") for i in range(40)] + [(10**15, "far"), (-5, "low"), (None, "none")] + [(7, f"hot {rng.random()}") for _ in range(60)] + [(9, "same")] * 30
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(*r, "b", 1) for r in rows], "doc_id long, text string, block string, k1 int")
+    got = fingerprints.with_next(docs, {}).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, rows))
+    after = {}
+    for r in got:
+        after.setdefault(r["text"], []).append(r["next_text"])
+    assert sorted(x for v in after.values() for x in v) == sorted(t for _, t in rows)  # each is the next of one
+    assert after["none"] == ["low"] and after["low"] == ["text 0"] and after["far"] == ["none"] and after["text 5"] == ["text 6"]
+    assert after["same"].count("same") >= 28 and len(fingerprints.block_starts(docs)) > 8
+
+
 def weighted_set(text):
     """Shingles of five words, each as often as the bit length of its count."""
     words = re.findall(r"\w+", (text or "").lower())
@@ -432,6 +484,68 @@ def test_toxicity(labelled, empty):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_restore_equals_all_paths():
+    """The Viterbi word is the best of all readings of the lattice, enumerated."""
+    rng = random.Random(5)
+    model = toxicity.CharModel({"idiot": 5, "stone": 9, "tone": 4, "toot": 2, "is": 7, "sit": 6})
+
+    def readings(token):
+        paths, last = [(0.0, "")], ""
+        for c in token:
+            if c.isalpha():
+                ways = [(c, 0.0)] + [("", toxicity.SKIP)] * (c == last)
+            elif c == "*" and c != last:
+                ways = [(x, toxicity.WILD) for x in model.letters] + [("", toxicity.DROP)]
+            else:
+                ways = [(x, toxicity.SWAP) for x in toxicity.LOOKS.get(c, "")] + [("", toxicity.DROP if c in toxicity.SEPARATORS or c == last else toxicity.LOSE)]
+            last = c
+            paths = [(cost + more, text + x) for cost, text in paths for x, more in ways]
+        for cost, text in paths:
+            padded = f"^^{text}"
+            yield cost + sum(model.log(padded[k : k + 2], (text + "$")[k]) for k in range(len(text) + 1)), text
+
+    for _ in range(200):
+        token = "".join(rng.choice("idiotsn10-*!7#") for _ in range(rng.randint(1, 7)))
+        best = max(readings(token))
+        assert max(x for x, t in readings(token) if t == toxicity.restore(token, model)) == pytest.approx(best[0]), token
+
+
+def test_words_hidden_in_other_ways():
+    plain = "the you are such an what that this is stone river light green walk over under bridge so".split()
+    model = toxicity.ToxicModel({w: 0.99 for w in "villain rascal scoundrel oaf".split()}, {w: 50 for w in plain} | {w: 9 for w in "villain rascal scoundrel oaf ton rig".split()})
+    for text in ("an 0af", "v1lla1n+", "rasc*l", "sco-undrel", "ras.cal", "vil lain", "raaa" + "a" * 70 + "scal", "y o u r a s c a l s c o u n d r e l", " ".join("youaresuchanoafwhatthatthisisvillainthestoneriverwalkover")):
+        assert model.score(text) > 0.9, text
+    for text in ("the stone bridge", "over-under the (2nd) bridge, 3 rivers!", "t h e s t o n e r i v e r", "", "7" * 500, "a1b2" * 300):
+        assert model.score(text) == 0.0, text
+    began = time.process_time()
+    for text in ("x5" * 100_000, "a b c d " * 25_000, "a" * 500_000, "!*(0" * 50_000, "a-b-" * 50_000):
+        model.score(text)
+    assert time.process_time() - began < 20
+
+
+def test_labelled_rows_are_bounded(spark):
+    from tickloom.llm.labelled import labelled_sample
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "same")] * 300 + [(1, f"text {i}") for i in range(200)] + [(2, "other"), (3, "third one"), (4, "third one")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, quality int")
+    assert labelled_sample(docs, labels, "quality", F.lit(True), 1).count() == 1
+    assert sorted(map(tuple, labelled_sample(docs.where("text <> 'same'"), labels, "quality", F.lit(True), 10).where("text NOT LIKE 'text%'").collect())) == [(0, "other"), (0, "third one"), (1, "third one")]
+    copies = [labelled_sample(docs.repartition(n), labels, "quality", F.lit(True), 10, once=True).where("text = 'third one'").collect() for n in (1, 3)]
+    assert copies[0] == copies[1] and len(copies[0]) == 1
+
+
+def test_counts_of_marks_and_fractions():
+    import sentencepiece
+
+    path = tokenizers.path("piece_bpe_32k.model")
+    sp, counter, rng = sentencepiece.SentencePieceProcessor(model_file=path), token_counts.counter(path), random.Random(4)
+    for _ in range(20_000):
+        text = "".join(rng.choice("m²³¹½¼ªº.,;:!?|'\"-ab éß 中の😀\n\t 12٣ⅳ①̈́’“”…·") for _ in range(rng.randint(0, 7)))
+        counts = counter.boundaries(text)[1]
+        assert (int(counts[-1]) if len(counts) else 0) == len(sp.encode(text)), text
+
+
 def test_quality(labelled, empty):
     docs, labels, truth = labelled
     got = by_id(quality.quality(docs, labels))
@@ -480,6 +594,37 @@ def test_pipeline(spark, tmp_path, labelled, docs):
     assert seen["near_duplicates"] - seen["decontamination"] == {2000}
     result = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in result} <= seen["decontamination"] and len(result) > 0
+    kept = docs
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix_words(kept).collect()}
+    times = Counter(r["doc_id"] for r in corpus_pipeline.mixing(spark, kept, str(tmp_path)).collect())
+    assert times == {k: n for k, (t, size) in taken.items() if (n := math.floor(t / size + 0.5) if size else 1)}
+    assert Counter(r["doc_id"] for r in result) == times
+    slots = {}
+    for r in result:
+        assert r["shard"] == jump(r["doc_id"], 24) and r["grown_shard"] == jump(r["doc_id"], 25)
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_pipeline_of_clashing_columns_and_empty_tables(spark, tmp_path, labelled):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    own, labels, _ = labelled
+    names = ["_id", "_key", "_copy", "_t", "_tie", "_nth", "_times", "_k", "key", "row", "copy", "toxic_score", "coverage", "items", "size", "n"]
+    full = own.where("doc_id % 7 = 0").unionAll(own.where("doc_id = 14")).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"), F.lit(7).cast("long").alias("item_id"), *[F.lit(n).alias(n) for n in names])
+    for name, docs in (("some", full), ("none", full.where("false"))):
+        at = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, "one two three four five six")] * (name == "some"), "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        before = docs.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, at)
+            assert docs.columns == full.columns
+            assert all(r["item_id"] == 7 and all(r[n] == n for n in names) for r in docs.collect())
+        assert docs.count() <= before and (name == "none") == (corpus_pipeline.run(spark, at).count() == 0)
 
 
 def test_near_links_of_large_buckets_equal_brute_force(spark):

@@ -1,22 +1,26 @@
 """Document fingerprints by consistent weighted sampling (operator 3), native.
 
 A text's terms are its pairs of neighbouring words (its one word, if it has no more),
-weighted ``1 + ln(count)``. Each term belongs to one of ``SAMPLES`` samples by its hash
-and draws from it, as a function of term and sample alone, two Gamma(2, 1) variates
+weighted ``1 + ln(count)``. Each term belongs to one of ``SAMPLES`` bins by its hash
+and draws for it, as a function of term and bin alone, two Gamma(2, 1) variates
 ``r`` and ``c`` and a uniform ``beta``. With ``t = floor(ln(weight) / r + beta)`` and
-``y = exp(r (t - beta))`` the sample keeps the term of least ``c / (y exp(r))`` and its
-``t``. Two texts agree in a sample with the probability of the generalised Jaccard
-similarity of the terms that fall to it; likeness is the share of agreeing samples
-among those that either text fills. Splitting the terms among the samples costs one
-draw a term in place of one a sample.
-
-The edited text needs the next document, so rows are laid out by id in blocks of about
-``BLOCK_ROWS``; the first row of each block is also sent to the block before it.
+``y = exp(r (t - beta))`` the bin keeps the term of least ``c / (y exp(r))`` and its
+``t``. Two texts agree in a bin with the probability of the generalised Jaccard
+similarity of the terms that fall to it. Bins that no term fell to borrow the sample of the
+next filled one (densification), so that every text with a term has all ``SAMPLES`` samples; two
+texts agree in a sample only where both took it from the same bin, which leaves the
+probability as it is. Likeness is the share of agreeing samples. Splitting the terms among
+the bins costs one draw a term in place of one a sample.
+
+The edited text needs the next document, so rows are laid out in order in blocks of about
+``BLOCK_ROWS``, whose starts are rows that a first, narrow pass over ids and text
+hashes picks; the first row of each block is also sent to the block before it. Sparse ids and
+ids or rows that repeat are dealt out like others.
 
 Cases: null counts as empty; an empty text has no sample, is like an empty text (1) and
-unlike any other (0); null ids come first, rows of equal ids in order of a hash of
-their text; the last row's next is the first; one row is its own next; an empty table
-makes no row.
+unlike any other (0); a null id counts as the least long, rows of equal ids come in order of a
+hash of their text, equal rows as they are read; the last row's next is the first; one row is
+its own next; other columns are ignored; an empty table makes no row.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import partitions, whole_text
 
 SAMPLES = 64
 BLOCK_ROWS = 1024
-#: At most so many block starts are broadcast; more are joined by shuffling.
-SMALL_ROWS = 500_000
+#: Most blocks: their starts become a constant of the plan. Beyond them blocks take more rows.
+BLOCKS = 50_000
 _UNIT = 1.0 / (1 << 21)
 
 
@@ -78,9 +82,9 @@ def weighted_samples(hashes: Column) -> Column:
         return F.transform(
             timed,
             lambda x: F.struct(
-                F.shiftrightunsigned(x["h"], 58).cast("int").alias("k"),
+                (F.shiftright(x["h"], 58) + 32).cast("int").alias("k"),  # rises with the sorted hashes
                 (x["lc"] - x["r"] * (x["t"].cast("double") - x["beta"] + 1.0)).alias("rank"),
-                (F.shiftrightunsigned(x["h"], 58) * 16777216 + F.xxhash64(x["h"], x["t"]).bitwiseAND(F.lit(0xFFFFFF).cast("long"))).cast("int").alias("code"),
+                ((F.shiftright(x["h"], 58) + 32) * 16777216 + F.xxhash64(x["h"], x["t"]).bitwiseAND(F.lit(0xFFFFFF).cast("long"))).cast("int").alias("code"),
             ),
         )
 
@@ -88,42 +92,80 @@ def weighted_samples(hashes: Column) -> Column:
     return drawn
 
 
+def densified(samples: Column) -> Column:
+    """All ``SAMPLES`` samples: an empty bin borrows from the next filled one, around the end; none of an empty text."""
+    one, number = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def fill(mask: Column) -> Column:
+        def at(i: Column) -> Column:
+            turned = F.when(i == 0, mask).otherwise(F.call_function("shiftrightunsigned", mask, i).bitwiseOR(F.call_function("shiftleft", mask, 64 - i)))
+            steps = F.when(turned == -(1 << 63), SAMPLES - 1).otherwise(F.bit_count(F.bitwise_not(turned).bitwiseAND(turned - one)))  # zeros below the lowest bit
+            to = (i + steps) % SAMPLES
+            return F.get(samples, F.bit_count(mask.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), to)))))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), at)
+
+    filled = F.aggregate(samples, number, lambda acc, c: acc.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(c, 24))))
+    return F.when(F.size(samples) == SAMPLES, samples).when(F.size(samples) == 0, samples).otherwise(_let(filled, fill))
+
+
 def fingerprint(text: Column) -> Column:
     """Samples of a text's weighted word pairs."""
     words = F.filter(F.split(F.translate(text, "\n\r\t", "   "), " "), lambda w: w != "")
     pairs = lambda ws: F.zip_with(F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda a, b: F.xxhash64(a, b))
     hashes = _let(words, lambda ws: F.sort_array(F.when(F.size(ws) > 1, pairs(ws)).otherwise(F.transform(ws, lambda w: F.xxhash64(w)))))
-    return weighted_samples(hashes)
+    return _let(weighted_samples(hashes), densified)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Agreeing samples among those that either fills; 1 for two empty ones."""
-    number = lambda x: F.transform(x, lambda c: F.shiftright(c, 24))
-    filled = F.size(F.array_union(number(a), number(b)))
-    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(filled, F.lit(1)))
+    """Share of agreeing samples; 1 for two empty texts, 0 for one."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same / F.lit(float(SAMPLES)))
 
 
 def as_string(samples: Column) -> Column:
-    """Eight hexadecimal digits for each filled sample."""
+    """Eight hexadecimal digits for each sample."""
     return F.array_join(F.transform(samples, lambda c: F.lpad(F.lower(F.hex(c)), 8, "0")), "")
 
 
+def _key() -> list[Column]:
+    """The order of rows: id, text hash, place in the input."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(whole_text()).alias("k2"), F.monotonically_increasing_id().alias("k3")]
+
+
+def block_starts(docs: DataFrame) -> list[tuple[int, int, int]]:
+    """Keys of the first rows of blocks, in order; the first is the first row's. At most about ``BLOCKS``."""
+    ranges = partitions(docs.sparkSession)
+    rows = docs.count()
+    if not rows:
+        return []
+    step = max(BLOCK_ROWS, -(-rows // BLOCKS))
+    keys = docs.select(*_key()).repartitionByRange(max(1, min(ranges, rows // step)), "k1", "k2", "k3").sortWithinPartitions("k1", "k2", "k3")
+    found = keys.withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).where(F.col("at") % step == 0)
+    return sorted((r["k1"], r["k2"], r["k3"]) for r in found.select("k1", "k2", "k3").collect())
+
+
 def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
     """doc_id, text and ``carried``, each also of the next row by id as ``next_*`` (after the last: the first)."""
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, -(-rows // BLOCK_ROWS))))
-    block = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / float(width)), F.lit(-1)).cast("long")
-    firsts = docs.select("doc_id", block.alias("block")).groupBy("block").agg(F.min("doc_id").alias("first_id"))
-    order = Window.partitionBy(F.lit(0)).orderBy("block")
-    before = F.coalesce(F.lag("block").over(order), F.max("block").over(Window.partitionBy(F.lit(0))))
-    firsts = saved(firsts.select(F.col("block").alias("of"), "first_id", before.alias("before")), "block-starts")
-    firsts = F.broadcast(firsts) if firsts.count() <= SMALL_ROWS else firsts
-    full = docs.select("doc_id", whole_text().alias("text")).withColumns(carried).withColumn("block", block)
-    sent = full.join(firsts, (F.col("block") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
-    homes = F.array_compact(F.array(F.struct(F.col("block").alias("to"), F.lit(0).alias("guest")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("to"), F.lit(1).alias("guest")))))
-    sent = sent.withColumn("home", F.explode(homes)).select("doc_id", "text", *carried, "home.to", "home.guest")
-    following = Window.partitionBy("to").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return sent.withColumns({f"next_{c}": F.lead(c).over(following) for c in ("text", *carried)}).where("guest = 0").drop("to", "guest")
+    starts = block_starts(docs)
+    n = max(1, len(starts))
+    first, second, third = (F.split(F.lit(",".join(str(s[k]) for s in starts) or "0"), ",").cast("array<long>") for k in range(3))
+    k1, k2, k3 = (F.col(f"k{i}") for i in (1, 2, 3))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["lo"] + s["hi"] + 1, 1)
+        a, b, c = (F.get(x, middle) for x in (first, second, third))
+        after = (a < k1) | ((a == k1) & ((b < k2) | ((b == k2) & (c <= k3))))
+        return F.struct(F.when(after, middle).otherwise(s["lo"]).alias("lo"), F.when(after, s["hi"]).otherwise(middle - 1).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(max(1, (n - 1).bit_length())))
+    block = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(n - 1).alias("hi")), lambda s, i: F.when(s["lo"] < s["hi"], halve(s, i)).otherwise(s), lambda s: s["lo"])
+    full = docs.select("doc_id", whole_text().alias("text"), *_key()).withColumns(carried).withColumn("block", block)
+    opens = (k1 == F.get(first, F.col("block"))) & (k2 == F.get(second, F.col("block"))) & (k3 == F.get(third, F.col("block")))
+    homes = F.array_compact(F.array(F.struct(F.col("block").alias("to"), F.lit(0).alias("guest")), F.when(opens, F.struct(((F.col("block") + n - 1) % n).alias("to"), F.lit(1).alias("guest")))))
+    sent = full.withColumn("home", F.explode(homes)).select("doc_id", "text", "k1", "k2", "k3", *carried, "home.to", "home.guest")
+    following = Window.partitionBy("to").orderBy("guest", "k1", "k2", "k3")
+    return sent.withColumns({f"next_{c}": F.lead(c).over(following) for c in ("text", *carried)}).where("guest = 0").drop("to", "guest", "k1", "k2", "k3")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

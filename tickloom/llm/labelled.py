@@ -14,16 +14,18 @@ def fold(parts: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: Column, rows: int, once: bool = False) -> DataFrame:
-    """label, text of at most ``rows`` labelled ids, chosen by a hash of the id among those that ``keep``.
+    """label, text of at most ``rows`` labelled rows, chosen by a hash of the id among those that ``keep``; the same at every run.
 
-    An id labelled more than once counts with its largest label; null labels and ids are left out. With ``once``, copies and near copies (two equal minima of word
-    hashes) count as one row, so that a text copied often teaches no more than another.
+    An id labelled more than once counts with its largest label; null labels and ids are left out. Of rows with equal ids the
+    one of the least text digest teaches. With ``once``, copies and near copies (two equal minima of word hashes) count as
+    one row, that of the least hash of the id, so that a text copied often teaches no more than another.
     """
     known = labels.select("doc_id", F.col(target).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).where(keep)
     chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")).alias("copy"), "label", "text")).alias("of")).select("doc_id", "of.*")
     if once:
         words = F.split(F.lower("text"), r"\s+")
-        least = [F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))) for k in (1, 2)]
-        sample = sample.withColumn("_a", least[0]).withColumn("_b", least[1]).dropDuplicates(["_a", "_b"])
+        least = [F.array_min(F.transform(words, lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"least{k}") for k in (1, 2)]
+        sample = sample.groupBy(*least).agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "label", "text")).alias("of")).select("of.*")
     return sample.select("label", "text")

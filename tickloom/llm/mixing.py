@@ -11,9 +11,14 @@ The last block of a source ends where its target does, ranks beyond it are skipp
 ranks that the points did not reach come at the end, so every source's words equal its
 target to the nearest word.
 
+A source's shuffled rows are ranges of one order, dealt by key so that neither a hot source nor
+a hot id meets in one task; sums of the ranges give each row its first word. Sources
+themselves are one narrow row each, in one task.
+
 Cases: null and blank texts have no words and are taken 0 times; null sources are one
-source, sorted last; equal rows are laid out one after another; an empty table makes
-no row; sources without words have target 0.
+source, sorted last; rows of equal ids and equal rows are laid out one after another; an empty
+table makes no row; sources without words have target 0; other columns are ignored or pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, whole_text
+from .common import partitions, saved, unused, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1024
@@ -97,21 +102,22 @@ def schedule(targets: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 def mix_words(docs: DataFrame, block_words: int = BLOCK_WORDS, passes: int = PASSES) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken, and tie (checksum of the text), source."""
     text = whole_text()
-    rows = saved(
-        docs.select(
-            "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("tie"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")
-        ),
-        "mix-rows",
-    )
+    order = ["source", "h", "doc_id", "size", "tie", "nth"]
+    rows = docs.select(
+        "doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("tie"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
+        F.monotonically_increasing_id().alias("nth"),
+    )
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)).drop("nth")
+    rows = saved(rows, "mix-rows")
     targets = saved(source_targets(rows, passes), "mix-targets")
     blocks = schedule(targets, block_words).select("src", F.col("rank").alias("block"), "words")
     known = targets.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    placed = _join(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), known.drop("source"), ["key"]).drop("key").withColumn("bucket", F.substring("h", 1, 3))
+    placed = _join(rows.withColumn("key", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))), known.drop("source"), ["key"]).drop("key", "h")
     worded = placed.where("size > 0")
-    sums = worded.groupBy("src", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    within = Window.partitionBy("src", "bucket").orderBy("h", "doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = worded.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["src", "bucket"]).withColumn("start", F.col("base") + F.col("own"))
+    sums = worded.groupBy("src", "part").agg(F.sum("size").alias("n"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = Window.partitionBy("src", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    laid = worded.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["src", "part"]).withColumn("start", F.col("base") + F.col("own"))
     cut = (
         laid.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))))
         .withColumn("from", F.col("start") + F.col("pass") * F.col("source_size"))
@@ -135,16 +141,18 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, passes: int
     """
     words = mix_words(docs, block_words, passes)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.lit(1.0)).cast("int")
-    # Equal rows share their number evenly, the first of them take what is over.
-    key = ["doc_id", "source", "tie"]
-    numbers = words.withColumn("n", times).groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    numbers = numbers.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("n").alias("_n"), F.col("rows").alias("_rows"))
-    tied = docs.withColumn("_t", F.crc32(whole_text().cast("binary")))
-    joined = tied.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_t") == F.col("_tie")))
-    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_tie").orderBy(F.lit(0)))
-    repeat = F.floor(F.col("_n") / F.col("_rows")).cast("int") + F.when(F.col("_nth") <= F.col("_n") % F.col("_rows"), 1).otherwise(0)
-    counted = joined.withColumn("_nth", nth).withColumn("_times", repeat.cast("int"))
-    return counted.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*docs.columns)
+    # Equal rows share their number evenly, the first of them take what is over. All that has no words or is not taken stays out of the join.
+    own = ["id", "source", "tie"]
+    place = lambda *c: F.xxhash64(*c)
+    numbers = words.withColumn("n", times).groupBy("doc_id", "source", "tie").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).where("n > 0")
+    row, at, mine, nth = unused(docs, "row", "at", "mine", "nth")
+    numbers = numbers.select(place("doc_id", "source", "tie").alias(at), F.struct(F.col("doc_id").alias("id"), "source", "tie", "n", "rows").alias(row))
+    tie = F.crc32(whole_text().cast("binary"))
+    tied = docs.withColumn(mine, F.struct(F.col("doc_id").cast("long").alias("id"), F.col("source").alias("source"), tie.alias("tie"))).withColumn(at, place(F.col("doc_id").cast("long"), "source", tie))
+    joined = tied.join(numbers, at).where(" AND ".join(f"`{mine}`.{c} <=> `{row}`.{c}" for c in own))
+    counted = joined.withColumn(nth, F.row_number().over(Window.partitionBy(at, *(F.col(f"`{mine}`.{c}") for c in own)).orderBy(F.lit(0))))
+    repeat = F.floor(F.col(f"`{row}`.n") / F.col(f"`{row}`.rows")).cast("int") + F.when(F.col(nth) <= F.col(f"`{row}`.n") % F.col(f"`{row}`.rows"), 1).otherwise(0)
+    return counted.withColumn(nth, F.explode(F.array_repeat(F.lit(0), repeat.cast("int")))).select(*docs.columns)
 
 
 def mix_sql(block_words: int = BLOCK_WORDS, passes: int = PASSES) -> str:

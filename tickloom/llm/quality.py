@@ -1,11 +1,14 @@
 """Quality by a factorisation machine (operator 9).
 
 Inputs: hashed words of the text (each distinct one, scaled by the root of their
-number) and structure statistics of the text cut into bins. The pairwise part
+number; words of one bucket add up) and structure statistics of the text cut into bins,
+its length among them. That is all the metadata there is: labels, language, source and id
+are never inputs. The pairwise part
 ``sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2) / 2`` takes time linear in the
 inputs. Fitted with logistic loss by per-coordinate adaptive steps on a bounded sample.
 
-Cases: null and empty texts get the bins of an empty text and so a score; without
+Cases: null ids belong to fold 0 and are scored; rows of equal ids and repeated rows are
+scored each; other columns are ignored; null and empty texts get the bins of an empty text and so a score; without
 labelled rows of both kinds every score is the share of label 1 (0.5 with none).
 """
 
@@ -69,8 +72,9 @@ def inputs(text: str) -> tuple[np.ndarray, np.ndarray]:
             known[word] = zlib.crc32(word.lower().encode()) & mask
     hashed = np.fromiter(map(known.__getitem__, kinds), dtype=np.int32, count=len(kinds))
     binned = np.array([(1 << WORD_BITS) + k * BINS + _bin(x) for k, x in enumerate(stats)], dtype=np.int32)
-    values = np.concatenate([np.full(len(hashed), 1 / math.sqrt(max(1, len(hashed)))), np.ones(STATS)])
-    return np.concatenate([hashed, binned]), values.astype(np.float32)
+    at, times = np.unique(hashed, return_counts=True)
+    values = np.concatenate([times / math.sqrt(max(1, len(hashed))), np.ones(STATS)])
+    return np.concatenate([at, binned]), values.astype(np.float32)
 
 
 class FactorMachine:
@@ -120,15 +124,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> F
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [inputs(x)[0].tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"label": batch.column(0), "at": pa.array(made, pa.binary())})
-
-    found = []
-    for label, at in sorted((int(r["label"] > 0), bytes(r["at"])) for r in sample.mapInArrow(make, "label int, at binary").collect()):
-        index = np.frombuffer(at, np.int32)
-        n = len(index) - STATS
-        found.append((label, index, np.concatenate([np.full(n, 1 / math.sqrt(max(1, n))), np.ones(STATS)]).astype(np.float32)))
-    return FactorMachine().fit(found)
+            made = [inputs(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"label": batch.column(0), "at": pa.array([a.tobytes() for a, _ in made], pa.binary()), "x": pa.array([x.tobytes() for _, x in made], pa.binary())})
+
+    rows = sorted((int(r["label"] > 0), bytes(r["at"]), bytes(r["x"])) for r in sample.mapInArrow(make, "label int, at binary, x binary").collect())
+    return FactorMachine().fit([(label, np.frombuffer(at, np.int32), np.frombuffer(x, np.float32)) for label, at, x in rows])
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
