@@ -3,6 +3,11 @@
 Every stage but the last returns the columns of ``documents``. Between stages the rows
 are written as Parquet in the shared folder and read again, so that a lost executor
 costs the stage it worked on at most.
+
+Cases: null texts count as empty, are clean and stay (copies of each other, so one of
+them); a null id joins the class of its text; null sources are one source; columns beside
+those of ``documents``, whatever their names, pass through the first four stages; empty
+tables make no row.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import saved, table
+from tickloom.llm.common import saved, table, unused
 from tickloom.llm.decontamination import COVER, tile_documents
 from tickloom.llm.mixing import mixed_documents
 from tickloom.llm.near_dup import without_near_duplicates
@@ -24,7 +29,8 @@ TOXIC = 0.7
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxic threshold; null and empty texts stay."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, model).where(F.col("toxic_score") < TOXIC).select(*docs.columns)
+    (score,) = unused(docs, "toxic_score")
+    return score_toxicity(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item is tiled from to ``COVER`` or more."""
-    return tile_documents(docs, table(spark, sf_dir, "benchmark")).where(F.col("coverage") < COVER).select(*docs.columns)
+    names = tuple(unused(docs, "item_id", "coverage", "items"))
+    return tile_documents(docs, table(spark, sf_dir, "benchmark"), names=names).where(F.col(names[1]) < COVER).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
