@@ -21,6 +21,11 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1.0 - tail).otherwise(tail)
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b); null unless both are positive."""
+    return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
+
+
 def ranks(value: Column, over_value, over_peers) -> Column:
     """Average ranks: ties share the mean of their places."""
     return F.rank().over(over_value) + (F.count(F.lit(1)).over(over_peers) - 1) / 2.0

@@ -256,7 +256,7 @@ def daily_volatility(df: DataFrame, keys: list[str], time: str, price: str, look
 
     at = df.withColumn("_at", F.col(time) - lookback)
     past = asof(at, df.select(*keys, F.col(time).alias("_pt"), F.col(price).alias("_pp")), keys, "_at", "_pt", ["_pp"], strict=True).where("_pp IS NOT NULL")
-    past = past.withColumn("ret", F.col(price) / F.col("_pp") - 1).drop("_at", "_pp")
+    past = past.withColumn("ret", F.try_divide(price, F.col("_pp")) - 1).drop("_at", "_pp")
 
     def deviation(first: float) -> Step:
         keep = 1 - 2 / (span + 1)

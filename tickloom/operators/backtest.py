@@ -10,7 +10,7 @@ from ..functions.windows import ordered
 
 
 def bet_size_probability(prob: Column, side: Column, classes: int = 2) -> Column:
-    z = (prob - 1.0 / classes) / F.sqrt(prob * (1 - prob))
+    z = F.try_divide(prob - 1.0 / classes, F.sqrt(prob * (1 - prob)))
     return side * (2 * normal_cdf(z) - 1)
 
 
@@ -82,7 +82,7 @@ def drawdowns(df: DataFrame, keys: list[str], time: str, value: str, dollars: bo
     df = df.withColumn("_h", F.max(value).over(over.rowsBetween(Window.unboundedPreceding, 0)))
     marks = df.groupBy(*keys, "_h").agg(F.min(value).alias("_low"), F.min(time).alias("start"))
     marks = marks.withColumn("_next", F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))).where(F.col("_h") > F.col("_low"))
-    drop = F.col("_h") - F.col("_low") if dollars else 1 - F.col("_low") / F.col("_h")
+    drop = F.col("_h") - F.col("_low") if dollars else 1 - F.try_divide("_low", "_h")
     return marks.select(*keys, "start", drop.alias("drawdown"), (F.col("_next") - F.col("start")).alias("under_water"))
 
 

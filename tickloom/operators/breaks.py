@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.series import by_end_blocks
 from ..functions.windows import ordered
 from ..session import reachable
 
@@ -30,84 +31,102 @@ def chow_dfc(df: DataFrame, keys: list[str], time: str, value: str, least: int)
     return df.where((F.col("_k") >= least) & (F.col("_n") - F.col("_k") >= least)).select(*keys, time, "dfc")
 
 
-class _Csw:
-    """Largest standardised departure from every earlier level, over numpy prefixes."""
-
-    @staticmethod
-    def run(y: np.ndarray, two_sided: bool) -> tuple[np.ndarray, np.ndarray]:
-        n = len(y)
-        best, critical = np.full(n, np.nan), np.full(n, np.nan)
-        sq = np.concatenate([[0.0], np.cumsum(np.diff(y) ** 2)])
-        for t in range(2, n):
-            variance = sq[t] / (t - 1)
-            if variance <= 0:
-                continue
-            gap = y[t] - y[:t]
-            s = (np.abs(gap) if two_sided else gap) / (variance * np.sqrt(t - np.arange(t)))
-            k = int(np.argmax(s))
-            best[t], critical[t] = s[k], math.sqrt(4.6 + math.log(t - k))
-        return best, critical
+def csw_stats(y: np.ndarray, lo: int, hi: int, two_sided: bool = True) -> dict[str, np.ndarray]:
+    """Largest standardised departure of rows lo to hi from every earlier level, and its critical value."""
+    best, critical = np.full(hi - lo, np.nan), np.full(hi - lo, np.nan)
+    square = np.concatenate([[0.0], np.cumsum(np.diff(y[:hi]) ** 2)])
+    for t in range(max(2, lo), hi):
+        variance = square[t] / (t - 1)
+        if variance <= 0:
+            continue
+        gap = y[t] - y[:t]
+        s = (np.abs(gap) if two_sided else gap) / (variance * np.sqrt(t - np.arange(t)))
+        k = int(np.argmax(s))
+        best[t - lo], critical[t - lo] = s[k], math.sqrt(4.6 + math.log(t - k))
+    return {"stat": best, "critical": critical}
 
 
 def csw_cusum(df: DataFrame, keys: list[str], time: str, value: str, two_sided: bool = True) -> DataFrame:
-    """Chu-Stinchcombe-White statistic and its critical value at each row.
-
-    Every row meets every earlier row of its key: keys should be bounded spans (a symbol's day or month).
-    """
-    types = dict(df.dtypes)
+    """Chu-Stinchcombe-White statistic and its critical value at each row of a key's whole series."""
+    return by_end_blocks(df, keys, time, value, lambda y, lo, hi: csw_stats(y, lo, hi, two_sided), ["stat", "critical"])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        best, critical = _Csw.run(pdf[value].to_numpy(float), two_sided)
-        return pdf[[*keys, time]].assign(stat=best, critical=critical).dropna()
-
-    reachable(df.sparkSession)
-    return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in [*keys, time]) + ", stat double, critical double")
-
-
-def adf_stats(y: np.ndarray, least: int, model: str = "linear", phi: float = 0.0) -> np.ndarray:
-    """Sup-ADF at each end: the largest t-value of y(t-1) over all start points at least ``least`` rows before."""
-    n = len(y) - 1
-    d, x1 = np.diff(y), y[:-1]
-    trend = np.arange(1, n + 1, dtype=float)
-    columns = {"none": [x1], "linear": [x1, np.ones(n)], "trend": [x1, np.ones(n), trend], "quadratic": [x1, np.ones(n), trend, trend**2], "sm_poly_1": [trend**2, np.ones(n), trend], "sm_poly_2": [trend**2, np.ones(n), trend], "sm_exp": [trend, np.ones(n)], "sm_power": [np.log(trend), np.ones(n)]}
-    own = np.column_stack(columns[model])
-    target = d if not model.startswith("sm_") else (np.log(np.maximum(y[1:], 1e-12)) if model in ("sm_poly_2", "sm_exp", "sm_power") else y[1:])
-    out = np.full(len(y), np.nan)
-    k = own.shape[1]
-    for end in range(max(least, k + 2), n + 1):
-        xx, xy, yy, best = np.zeros((k, k)), np.zeros(k), 0.0, -np.inf
-        for start in range(end - 1, -1, -1):  # one row more at each step
-            r = own[start]
-            xx += np.outer(r, r)
-            xy += r * target[start]
-            yy += target[start] ** 2
-            m = end - start
-            if m < max(least, k + 1):
-                continue
-            try:
-                inverse = np.linalg.inv(xx)
-            except np.linalg.LinAlgError:
-                continue
-            b = inverse @ xy
-            error = math.sqrt(max((yy - b @ xy) / (m - k) * inverse[0, 0], 0.0)) if m > k else 0.0
-            if error > 0:
-                stat = b[0] / error
-                best = max(best, abs(stat) / m**phi if model.startswith("sm_") else stat)
-        out[end] = best
-    return np.where(np.isfinite(out), out, np.nan)
 
+def get_betas(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least-squares coefficients and their covariance; NaN where the columns are dependent."""
+    k = x.shape[1]
+    xx = x.T @ x
+    if len(y) <= k or np.linalg.matrix_rank(xx) < k:
+        return np.full(k, np.nan), np.full((k, k), np.nan)
+    inverse = np.linalg.inv(xx)
+    b = inverse @ (x.T @ y)
+    e = y - x @ b
+    return b, inverse * (e @ e) / (len(y) - k)
 
-def sadf(df: DataFrame, keys: list[str], time: str, value: str, least: int = 20, model: str = "linear", phi: float = 0.0) -> DataFrame:
-    """Supremum augmented Dickey-Fuller (no lags) per key; keys should be bounded spans."""
-    types = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time)
-        return pdf[[*keys, time]].assign(sadf=adf_stats(pdf[value].to_numpy(float), least, model, phi)).dropna()
+def adf_regression(y: np.ndarray, model: str, lags: int = 0, constant: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """Regressors (the tested one first), target, and rows of ``y`` before the first row of both.
 
-    reachable(df.sparkSession)
-    return df.select(*keys, time, value).groupBy(*keys).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in [*keys, time]) + ", sadf double")
+    ``linear`` and ``quadratic`` regress the change on the last level, lagged changes, trend and its square; ``none`` leaves the trend out;
+    the ``sm_`` models regress the level (or its logarithm) on functions of time.
+    """
+    change = np.diff(y)
+    n = len(change) - lags
+    if n < 1:
+        return np.empty((0, 1)), np.empty(0), lags + 1
+    trend, one = np.arange(n, dtype=float), np.ones(n)
+    if model.startswith("sm_"):
+        level = y[lags + 1 :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            columns = {"sm_poly_1": [trend**2, one, trend], "sm_poly_2": [trend**2, one, trend], "sm_exp": [trend, one], "sm_power": [np.log(trend), one]}[model]
+            return np.column_stack(columns), level if model == "sm_poly_1" else np.log(level), lags + 1
+    columns = [y[lags:-1], *(change[lags - k : len(change) - k] for k in range(1, lags + 1)), *([one] if constant else [])]
+    columns += {"none": [], "linear": [trend], "quadratic": [trend, trend**2]}[model]
+    return np.column_stack(columns), change[lags:], lags + 1
+
+
+def adf_stats(y: np.ndarray, lo: int, hi: int, least: int, model: str = "linear", lags: int = 0, constant: bool = True, phi: float = 0.0) -> dict[str, np.ndarray]:
+    """Sup-ADF at rows lo to hi: the largest t-value over all start points at least ``least`` rows before.
+
+    Sums over windows run backwards from each end, so that no difference of long sums loses digits.
+    """
+    x, target, skipped = adf_regression(y[:hi], model, lags, constant)
+    k = x.shape[1]
+    out = np.full(hi - lo, np.nan)
+    for t in range(lo, hi):
+        rows = t - skipped + 1
+        if rows < max(least, k + 1):
+            continue
+        own, want = x[:rows][::-1], target[:rows][::-1]
+        fine = np.isfinite(own).all(1) & np.isfinite(want)
+        if not fine.all():  # log of time 0 and the like: windows stop before it
+            rows = int(np.argmin(fine))
+            own, want = own[:rows], want[:rows]
+            if rows < max(least, k + 1):
+                continue
+        scale = np.maximum(np.abs(own).max(0), 1e-300)
+        own = own / scale
+        first = max(least, k + 1) - 1
+        xx = np.cumsum(own[:, :, None] * own[:, None, :], axis=0)[first:]
+        xy, yy = np.cumsum(own * want[:, None], axis=0)[first:], np.cumsum(want**2)[first:]
+        n = np.arange(first + 1, rows + 1)
+        good = np.linalg.cond(xx) < 1e12
+        if not good.any():
+            continue
+        xx, xy, yy, n = xx[good], xy[good], yy[good], n[good]
+        inverse = np.linalg.inv(xx)
+        b = (inverse @ xy[:, :, None])[:, :, 0]
+        error = np.sqrt(np.maximum((yy - (b * xy).sum(1)) / (n - k) * inverse[:, 0, 0], 0))
+        stat = b[:, 0] / np.where(error > 0, error, np.nan)
+        if model.startswith("sm_"):
+            stat = np.abs(stat) / n**phi
+        if np.isfinite(stat).any():
+            out[t - lo] = np.nanmax(stat)
+    return {"sadf": out}
+
+
+def sadf(df: DataFrame, keys: list[str], time: str, value: str, least: int = 20, model: str = "linear", lags: int = 0, constant: bool = True, phi: float = 0.0) -> DataFrame:
+    """Supremum augmented Dickey-Fuller statistic at each row of a key's whole series."""
+    return by_end_blocks(df, keys, time, value, lambda y, lo, hi: adf_stats(y, lo, hi, least, model, lags, constant, phi), ["sadf"], 64)
 
 
 def ffd_weights(d: float, threshold: float, most: int) -> list[float]:

@@ -1,4 +1,7 @@
-"""Labels, concurrency, sample weights and event filters."""
+"""Labels, concurrency, sample weights and event filters.
+
+Returns from a price of 0, and logarithms of prices of 0 or less, are null; a cumulative sum passes over them.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fold import Kernel, ordered_fold
 from ..functions.joins import asof, interval
+from ..functions.stats import log_ratio
 from ..functions.windows import ordered, rolling_mean, rolling_std
 
 DAY = 86400
@@ -25,7 +29,7 @@ class _Cusum(Kernel):
         out = []
         for t, p in zip(rows[self.time], rows[self.price]):
             if self.last is not None:
-                r = math.log(p / self.last)
+                r = math.log(p / self.last) if p > 0 and self.last > 0 else 0.0
                 self.up, self.down = max(0.0, self.up + r), min(0.0, self.down + r)
                 if self.down < -self.h:
                     self.down = 0.0
@@ -67,7 +71,7 @@ def apply_barriers(events: DataFrame, bars: DataFrame, keys: list[str], pt: floa
     spans = asof(events, bars.select(*keys, "t", F.col("close").alias("_p0")), keys, "t0", "t", ["_p0"], forward=True)
     spans = spans.join(last, keys).withColumn("_end", F.coalesce("t1", "_last")).drop("_last")
     path = interval(price, spans, keys, "_t", "t0", "_end", cell)
-    ret = (F.col("_p") / F.col("_p0") - 1) * F.col("side")
+    ret = (F.try_divide("_p", F.col("_p0")) - 1) * F.col("side")
     hit = {"pt": F.min(F.when(ret > pt * F.col("trgt"), F.col("_t"))) if pt > 0 else F.lit(None).cast("long"), "sl": F.min(F.when(ret < -sl * F.col("trgt"), F.col("_t"))) if sl > 0 else F.lit(None).cast("long")}
     found = path.groupBy(*keys, "t0").agg(*[c.alias(n) for n, c in hit.items()])
     return events.join(found, [*keys, "t0"], "left")
@@ -84,7 +88,7 @@ def get_bins(events: DataFrame, bars: DataFrame, keys: list[str], meta: bool = F
     closes = bars.select(*keys, "t", F.col("close").alias("p"))
     at = asof(events, closes.withColumnRenamed("p", "_p0"), keys, "t0", "t", ["_p0"], forward=True)
     at = asof(at.where(F.col("t1").isNotNull()), closes.withColumnRenamed("p", "_p1"), keys, "t1", "t", ["_p1"], forward=True)
-    log = F.ln(F.col("_p1") / F.col("_p0")) * F.col("side")
+    log = log_ratio(F.col("_p1"), F.col("_p0")) * F.col("side")
     bin_ = F.when(log > F.ln(1 + F.col("trgt")) * pt, 1).when(log < -F.ln(1 + F.col("trgt")) * sl, -1).otherwise(0)
     if meta:
         bin_ = F.when(log <= 0, 0).otherwise(bin_)
@@ -105,14 +109,14 @@ def drop_labels(bins: DataFrame, min_pct: float = 0.05) -> DataFrame:
 def raw_return(df: DataFrame, keys: list[str], time: str, price: str, log: bool = False, binary: bool = False, lag: bool = True) -> DataFrame:
     over = ordered(keys, [time])
     now, then = (F.lead(price).over(over), F.col(price)) if lag else (F.col(price), F.lag(price).over(over))
-    ret = F.ln(now / then) if log else now / then - 1
+    ret = log_ratio(now, then) if log else F.try_divide(now, then) - 1
     return df.withColumn("ret", F.signum(ret) if binary else ret)
 
 
 def fixed_time_horizon(df: DataFrame, keys: list[str], time: str, price: str, threshold: float, window: int | None = None) -> DataFrame:
     """-1, 0 or 1 by the next row's return (standardised over ``window`` rows where given); null stays null."""
     over = ordered(keys, [time])
-    df = df.withColumn("_r", F.lead(price).over(over) / F.col(price) - 1)
+    df = df.withColumn("_r", F.try_divide(F.lead(price).over(over), F.col(price)) - 1)
     if window:
         df = df.withColumn("_r", F.try_divide(F.col("_r") - rolling_mean(F.col("_r"), over, window), rolling_std(F.col("_r"), over, window)))
     return df.withColumn("label", F.when(F.col("_r") > threshold, 1).when(F.col("_r") < -threshold, -1).when(F.col("_r").isNotNull(), 0)).drop("_r")
@@ -147,8 +151,8 @@ def trend_scanning(df: DataFrame, keys: list[str], time: str, value: str, least:
         sx = F.sum(x * 1.0).over(frame)
         sy, sxx, syy, sxy = (F.sum(c).over(frame) for c in (y, x * x, y * y, x * y))
         vx, vy, c = sxx - sx * sx / length, syy - sy * sy / length, sxy - sx * sy / length
-        slope = c / vx
-        error = F.sqrt(F.greatest(vy - slope * c, F.lit(0.0)) / (length - 2) / vx)
+        slope = F.try_divide(c, vx)
+        error = F.sqrt(F.try_divide(F.greatest(vy - slope * c, F.lit(0.0)) / (length - 2), vx))
         t = F.when(F.col("_n") + length <= F.col("_m"), F.try_divide(slope, error))
         choices.append(F.struct(F.abs(t).alias("a"), F.lit(-length).alias("l"), t.alias("t"), F.lead(time, length - 1).over(over).alias("t1")))
     best = F.array_max(F.filter(F.array(*choices), lambda c: c["a"].isNotNull()))
@@ -180,28 +184,31 @@ def average_uniqueness(bars: DataFrame, spans: DataFrame, keys: list[str], cell:
 
 def weights_by_return(bars: DataFrame, spans: DataFrame, keys: list[str], cell: int) -> DataFrame:
     """|sum of log returns over concurrency| in each span, scaled to sum to the number of spans (per key)."""
-    rets = bars.withColumn("_r", F.ln(F.col("close") / F.lag("close").over(ordered(keys, ["t"]))))
+    rets = bars.withColumn("_r", log_ratio(F.col("close"), F.lag("close").over(ordered(keys, ["t"]))))
     counted = rets.join(concurrent_events(bars, spans, keys), [*keys, "t"])
     sums = span_bars(counted, spans, keys, cell).groupBy(*keys, "t0").agg(F.abs(F.sum(F.try_divide("_r", "concurrency"))).alias("_w"))
     every = Window.partitionBy(*keys)
-    return sums.withColumn("weight", F.col("_w") * F.count(F.lit(1)).over(every) / F.sum("_w").over(every)).drop("_w")
+    return sums.withColumn("weight", F.try_divide(F.col("_w") * F.count(F.lit(1)).over(every), F.sum("_w").over(every))).drop("_w")
 
 
 def weights_by_decay(unique: DataFrame, keys: list[str], decay: float) -> DataFrame:
     """Linear decay over cumulative uniqueness; the newest weighs 1; a negative ``decay`` zeroes the oldest share."""
     run = F.sum("uniqueness").over(ordered(keys, ["t0"]).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("uniqueness").over(Window.partitionBy(*keys))
-    slope = (1 - decay) / total if decay >= 0 else 1 / ((decay + 1) * total)
+    slope = F.try_divide(F.lit(1.0 - decay), total) if decay >= 0 else F.try_divide(F.lit(1.0), (decay + 1) * total)
     return unique.withColumn("weight", F.greatest(F.lit(0.0), 1 - slope * total + slope * run))
 
 
-def seq_bootstrap(indicator: np.ndarray, draws: int, rng: np.random.Generator) -> list[int]:
-    """Sequential bootstrap over a bars-by-labels matrix: chances follow average uniqueness given the draws so far."""
-    taken = np.zeros(indicator.shape[0])
+def seq_bootstrap(start: np.ndarray, end: np.ndarray, draws: int, rng: np.random.Generator) -> list[int]:
+    """Sequential bootstrap of labels that span bars ``start`` to ``end`` (both in): chances follow average uniqueness given the draws so far.
+
+    Uniqueness of every label comes from one running sum of 1 / (1 + labels taken) over the bars: a draw takes time linear in bars and labels.
+    """
+    taken = np.zeros(int(end.max()) + 1 if len(end) else 0)
     out = []
     for _ in range(draws):
-        shares = indicator / (taken[:, None] + indicator + (indicator == 0))
-        unique = shares.sum(0) / np.maximum(indicator.sum(0), 1)
-        out.append(int(rng.choice(indicator.shape[1], p=unique / unique.sum())))
-        taken += indicator[:, out[-1]]
+        run = np.concatenate([[0.0], np.cumsum(1 / (taken + 1))])
+        unique = (run[end + 1] - run[start]) / (end - start + 1)
+        out.append(int(rng.choice(len(start), p=unique / unique.sum())))
+        taken[start[out[-1]] : end[out[-1]] + 1] += 1
     return out

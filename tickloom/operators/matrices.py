@@ -257,8 +257,8 @@ def risk_metrics(df: DataFrame, keys: list[str], value: str, level: float = 0.05
 
 
 def relatives(df: DataFrame, keys: list[str], time: str, price: str) -> DataFrame:
-    """Price relatives, 1 in the first row."""
-    return df.withColumn("relative", F.coalesce(F.col(price) / F.lag(price).over(ordered(keys, [time])), F.lit(1.0)))
+    """Price relatives, 1 in the first row and after a price of 0."""
+    return df.withColumn("relative", F.coalesce(F.try_divide(price, F.lag(price).over(ordered(keys, [time]))), F.lit(1.0)))
 
 
 class OnlinePortfolio:

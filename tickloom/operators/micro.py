@@ -1,4 +1,7 @@
-"""Microstructure and volatility features over ordered bars: window frames only."""
+"""Microstructure and volatility features over ordered bars: window frames only.
+
+A price of 0 or less has no logarithm: ratios with it are null, and so are the frames that hold it; trades with it count as no return.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import log_ratio
 from ..functions.windows import carried, ordered, rolling_max, rolling_mean, rolling_min, rolling_std, rolling_sum, tick_side
 
 _K2 = math.sqrt(8 / math.pi)
@@ -14,7 +18,7 @@ _DEN = 3 - 2 * math.sqrt(2)
 
 
 def _log_ratio2(high: Column, low: Column) -> Column:
-    return F.pow(F.ln(high / low), 2)
+    return F.pow(log_ratio(high, low), 2)
 
 
 def roll_measure(df: DataFrame, keys: list[str], time: str, price: str = "close", window: int = 20) -> DataFrame:
@@ -44,7 +48,7 @@ def corwin_schultz(df: DataFrame, keys: list[str], time: str, window: int = 20)
 def bar_lambdas(df: DataFrame, keys: list[str], time: str, window: int = 20) -> DataFrame:
     """``kyle``, ``amihud``, ``hasbrouck``: rolling means of bar price impact; zero signs are carried forward."""
     over = ordered(keys, [time])
-    df = df.withColumn("_d", F.col("close") - F.lag("close").over(over)).withColumn("_r", F.ln(F.col("close") / F.lag("close").over(over)))
+    df = df.withColumn("_d", F.col("close") - F.lag("close").over(over)).withColumn("_r", log_ratio(F.col("close"), F.lag("close").over(over)))
     df = df.withColumn("_s", carried(F.when(F.col("_d") != 0, F.signum("_d")), over))
     df = df.withColumn("_k", F.try_divide("_d", F.col("volume") * F.col("_s"))).withColumn("_a", F.try_divide(F.abs("_r"), F.col("dollars"))).withColumn("_h", F.try_divide("_r", F.col("_s") * F.sqrt("dollars")))
     df = df.withColumns({n: rolling_mean(F.col(c), over, window) for n, c in (("kyle", "_k"), ("amihud", "_a"), ("hasbrouck", "_h"))})
@@ -55,7 +59,7 @@ def trade_lambdas(ticks: DataFrame, keys: list[str], order: list[str], bar: str)
     """Per bar, slopes through the origin and their t-values: price changes on signed volume (Kyle),
     absolute log returns on dollars (Amihud) and on signed root dollars (Hasbrouck)."""
     over = ordered([*keys, bar], order)
-    df = ticks.withColumn("_d", F.coalesce(F.col("price") - F.lag("price").over(over), F.lit(0.0))).withColumn("_r", F.abs(F.coalesce(F.ln(F.col("price") / F.lag("price").over(over)), F.lit(0.0))))
+    df = ticks.withColumn("_d", F.coalesce(F.col("price") - F.lag("price").over(over), F.lit(0.0))).withColumn("_r", F.abs(F.coalesce(log_ratio(F.col("price"), F.lag("price").over(over)), F.lit(0.0))))
     df = df.withColumn("_t", tick_side(F.col("price"), over)).withColumn("_s", F.coalesce(carried(F.col("_t"), over), F.lit(0.0)))
     dollars = F.col("price") * F.col("volume")
     pairs = {"kyle": (F.col("_s") * F.col("volume"), F.col("_d")), "amihud": (dollars, F.col("_r")), "hasbrouck": (F.col("_s") * F.sqrt(dollars), F.col("_r"))}
@@ -82,10 +86,10 @@ def vpin(df: DataFrame, keys: list[str], time: str, window: int = 20) -> DataFra
 def range_volatility(df: DataFrame, keys: list[str], time: str, window: int = 20) -> DataFrame:
     """``parkinson``, ``garman_klass``, ``yang_zhang``; the last measures closes against the opening before."""
     over = ordered(keys, [time])
-    hl, co = F.ln(F.col("high") / F.col("low")), F.ln(F.col("close") / F.col("open"))
+    hl, co = log_ratio(F.col("high"), F.col("low")), log_ratio(F.col("close"), F.col("open"))
     df = df.withColumn("_p", hl * hl / (4 * math.log(2))).withColumn("_g", 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co)
-    df = df.withColumn("_o", F.ln(F.col("open") / F.lag("close").over(over))).withColumn("_c", F.ln(F.col("close") / F.lag("open").over(over)))
-    df = df.withColumn("_rs", F.ln(F.col("high") / F.col("close")) * F.ln(F.col("high") / F.col("open")) + F.ln(F.col("low") / F.col("close")) * F.ln(F.col("low") / F.col("open")))
+    df = df.withColumn("_o", log_ratio(F.col("open"), F.lag("close").over(over))).withColumn("_c", log_ratio(F.col("close"), F.lag("open").over(over)))
+    df = df.withColumn("_rs", log_ratio(F.col("high"), F.col("close")) * log_ratio(F.col("high"), F.col("open")) + log_ratio(F.col("low"), F.col("close")) * log_ratio(F.col("low"), F.col("open")))
     k = 0.34 / (1.34 + (window + 1) / (window - 1))
     total = lambda c: rolling_sum(c, over, window)
     centred = lambda c: (total(c * c) - total(c) * total(c) / window) / (window - 1)

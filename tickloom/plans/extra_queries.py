@@ -64,15 +64,17 @@ def distance_correlation(spark, sf):
 @query("seq_bootstrap")
 def seq_bootstrap(spark, sf):
     bars, spans = src.bars(spark, sf), lq._spans(spark, sf)
-    sparse = lb.span_bars(bars, spans, ["symbol"], lq.CELL).select("symbol", "t", "t0")
     import pandas as pd
 
+    # One narrow row a label: the bars it spans, by number.
+    placed = lb.span_bars(bars.withColumn("k", F.row_number().over(ordered(["symbol"], ["t"])) - 1), spans, ["symbol"], lq.CELL).groupBy("symbol", "t0").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pd.crosstab(pdf["t"], pdf["t0"])
-        drawn = lb.seq_bootstrap(m.to_numpy(float), 20, np.random.default_rng(1))
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "draw": range(20), "t0": [int(m.columns[k]) for k in drawn]})
+        pdf = pdf.sort_values("t0")
+        drawn = lb.seq_bootstrap(pdf["first"].to_numpy(int), pdf["last"].to_numpy(int), len(pdf), np.random.default_rng(1))
+        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "draw": range(len(drawn)), "t0": pdf["t0"].to_numpy()[drawn]})
 
-    return sparse.groupBy("symbol").applyInPandas(run, "symbol string, draw long, t0 long")
+    return placed.groupBy("symbol").applyInPandas(run, "symbol string, draw long, t0 long")
 
 
 @query("min_ffd")

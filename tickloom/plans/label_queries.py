@@ -16,14 +16,14 @@ def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
 
-#: Events at every seventh bar; their target grows with the hour, sides alternate by day.
-_EV = "e AS (SELECT symbol, t AS t0, 0.5 + (t // 3600 % 10) / 20.0::DOUBLE AS trgt, CASE WHEN t // 86400 % 2 = 0 THEN 1 ELSE -1 END AS side FROM b WHERE t // 3600 % 7 = 0)"
+#: Every bar is an event; their target grows with the hour, sides alternate by day.
+_EV = "e AS (SELECT symbol, t AS t0, 0.5 + (t // 3600 % 10) / 20.0::DOUBLE AS trgt, CASE WHEN t // 86400 % 2 = 0 THEN 1 ELSE -1 END AS side FROM b)"
 _VB = "v AS (SELECT e.*, (SELECT min(b.t) FROM b WHERE b.symbol = e.symbol AND b.t >= e.t0 + 21600) AS t1 FROM e), w AS (SELECT * FROM v WHERE t1 IS NOT NULL)"
 
 
 def _events(spark, sf):
     hour = F.floor(F.col("t") / 3600)
-    return src.bars(spark, sf).where(hour % 7 == 0).select("symbol", F.col("t").alias("t0"), (0.5 + (hour % 10) / 20.0).alias("trgt"), F.when(F.floor(F.col("t") / 86400) % 2 == 0, 1).otherwise(-1).alias("side"))
+    return src.bars(spark, sf).select("symbol", F.col("t").alias("t0"), (0.5 + (hour % 10) / 20.0).alias("trgt"), F.when(F.floor(F.col("t") / 86400) % 2 == 0, 1).otherwise(-1).alias("side"))
 
 
 def _spans(spark, sf):

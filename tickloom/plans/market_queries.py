@@ -78,9 +78,9 @@ def open_market_dates(spark, sf):
     return mk.session_days(19000, 19365, spark.range(19000, 19366, 50).select(F.col("id").alias("day")), spark)
 
 
-@query("remaining_dates", "|||SELECT day FROM range(8000, 11000) r(day) WHERE (day + 3) % 7 < 5 AND day <= 10500 AND day NOT IN (SELECT day FROM d WHERE symbol <= 5)", "d")
+@query("remaining_dates", "|||SELECT day FROM range(8000, 11000) r(day) WHERE (day + 3) % 7 < 5 AND day <= 10500 AND day NOT IN (SELECT day FROM d)", "d")
 def remaining_dates(spark, sf):
-    return mk.remaining_days(mk.session_days(8000, 10999, None, spark), src.daily(spark, sf).where("symbol <= 5"), 10500)
+    return mk.remaining_days(mk.session_days(8000, 10999, None, spark), src.daily(spark, sf), 10500)
 
 
 @query("gap_fill", """n AS (SELECT *, t // 86400 AS day, row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t) AS k FROM b),

@@ -20,26 +20,30 @@ def _day(df):
     return df.withColumn("day", F.floor(F.col("t") / 86400))
 
 
-@query("chow_dfc", """x AS (SELECT symbol, t // 604800 AS week, t, close, lag(close) OVER (PARTITION BY symbol, t // 604800 ORDER BY t) AS x FROM b), y AS (SELECT *, close - x AS d FROM x WHERE x IS NOT NULL),
-z AS (SELECT symbol, week, t, sum(x * d) OVER a AS xy, sum(x * x) OVER a AS xx, sum(d * d) OVER (PARTITION BY symbol, week) AS yy, count(*) OVER (PARTITION BY symbol, week) AS n, row_number() OVER (PARTITION BY symbol, week ORDER BY t) AS k FROM y WINDOW a AS (PARTITION BY symbol, week ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) |||
-SELECT symbol, week, t, round(xy / xx / sqrt(greatest((yy - xy / xx * xy) / (n - 1), 0) / xx), 4) AS dfc FROM z WHERE k >= 10 AND n - k >= 10""", "tb")
+@query("chow_dfc", """x AS (SELECT symbol, t, close, lag(close) OVER (PARTITION BY symbol ORDER BY t) AS x FROM b), y AS (SELECT *, close - x AS d FROM x WHERE x IS NOT NULL),
+z AS (SELECT symbol, t, sum(x * d) OVER a AS xy, sum(x * x) OVER a AS xx, sum(d * d) OVER (PARTITION BY symbol) AS yy, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k FROM y WINDOW a AS (PARTITION BY symbol ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) |||
+SELECT symbol, t, round(xy / xx / sqrt(greatest((yy - xy / xx * xy) / (n - 1), 0) / xx), 4) AS dfc FROM z WHERE k >= 20 AND n - k >= 20""", "tb")
 def chow_dfc(spark, sf):
-    rows = src.bars(spark, sf).withColumn("week", F.floor(F.col("t") / 604800))
-    return br.chow_dfc(rows, ["symbol", "week"], "t", "close", 10).select("symbol", "week", "t", _r("dfc", 4))
+    return br.chow_dfc(src.bars(spark, sf), ["symbol"], "t", "close", 20).select("symbol", "t", _r("dfc", 4))
 
 
-@query("csw_cusum", """n AS (SELECT symbol, t // 86400 AS day, t, ln(close) AS y, row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t) - 1 AS k FROM b),
-g AS (SELECT *, y - lag(y) OVER (PARTITION BY symbol, day ORDER BY k) AS d FROM n), v AS (SELECT *, sum(d * d) OVER (PARTITION BY symbol, day ORDER BY k ROWS UNBOUNDED PRECEDING) / nullif(k - 1, 0) AS v FROM g),
-p AS (SELECT a.symbol, a.day, a.t, a.k, z.k AS m, abs(a.y - z.y) / (a.v * sqrt(a.k - z.k)) AS s FROM v a JOIN v z ON a.symbol = z.symbol AND a.day = z.day AND z.k < a.k WHERE a.k >= 2 AND a.v > 0) |||
-SELECT symbol, day, t, round(max(s), 4) AS stat, round(sqrt(4.6::DOUBLE + ln(arg_max(k - m, s))), 6) AS critical FROM p GROUP BY ALL""", "tb")
+@query("csw_cusum", """n AS (SELECT symbol, t, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS k FROM b),
+g AS (SELECT *, y - lag(y) OVER (PARTITION BY symbol ORDER BY k) AS d FROM n), v AS (SELECT *, sum(d * d) OVER (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING) / nullif(k - 1, 0) AS v FROM g),
+p AS (SELECT a.symbol, a.t, a.k, z.k AS m, abs(a.y - z.y) / (a.v * sqrt(a.k - z.k)) AS s FROM v a JOIN v z ON a.symbol = z.symbol AND z.k < a.k WHERE a.k >= 2 AND a.v > 0) |||
+SELECT symbol, t, round(max(s), 4) AS stat, round(sqrt(4.6::DOUBLE + ln(arg_max(k - m, s))), 6) AS critical FROM p GROUP BY ALL""", "tb")
 def csw_cusum(spark, sf):
-    rows = _day(src.bars(spark, sf)).withColumn("y", F.ln("close"))
-    return br.csw_cusum(rows, ["symbol", "day"], "t", "y").select("symbol", "day", "t", _r("stat", 4), _r("critical"))
+    rows = src.bars(spark, sf).withColumn("y", F.ln("close"))
+    return br.csw_cusum(rows, ["symbol"], "t", "y").select("symbol", "t", _r("stat", 4), _r("critical"))
 
 
-@query("sadf")
+@query("sadf", """n AS (SELECT symbol, t, ln(close) AS y, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS k FROM b), d AS (SELECT *, lag(y) OVER (PARTITION BY symbol ORDER BY k) AS x FROM n), e AS (SELECT *, y - x AS d FROM d WHERE x IS NOT NULL),
+p AS (SELECT *, sum(x) OVER o AS sx, sum(d) OVER o AS sd, sum(x * x) OVER o AS sxx, sum(x * d) OVER o AS sxd, sum(d * d) OVER o AS sdd FROM e WINDOW o AS (PARTITION BY symbol ORDER BY k ROWS UNBOUNDED PRECEDING)),
+q AS (SELECT symbol, k, sx, sd, sxx, sxd, sdd FROM p UNION ALL SELECT DISTINCT symbol, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM p),
+w AS (SELECT a.symbol, a.t, (a.k - z.k)::DOUBLE AS m, a.sx - z.sx AS x, a.sd - z.sd AS d, a.sxx - z.sxx AS xx, a.sxd - z.sxd AS xd, a.sdd - z.sdd AS dd FROM p a JOIN q z ON a.symbol = z.symbol AND a.k - z.k >= 20),
+c AS (SELECT symbol, t, m, xx - x * x / m AS cxx, xd - x * d / m AS cxd, dd - d * d / m AS cdd FROM w) |||
+SELECT symbol, t, round(max(cxd / cxx / sqrt((cdd - cxd / cxx * cxd) / (m - 2) / cxx)), 4) AS sadf FROM c GROUP BY ALL""", "tb")
 def sadf(spark, sf):
-    return br.sadf(_day(src.bars(spark, sf)).withColumn("y", F.ln("close")), ["symbol", "day"], "t", "y", least=8)
+    return br.sadf(src.bars(spark, sf).withColumn("y", F.ln("close")), ["symbol"], "t", "y", 20, "none").select("symbol", "t", _r("sadf", 4))
 
 
 @query("fracdiff_ffd", "|||SELECT symbol, t, round(" + " + ".join(f"lag(close, {k}) OVER o * {w!r}::DOUBLE" for k, w in enumerate(br.ffd_weights(0.4, 1e-2, 20))) + ", 5) AS fracdiff FROM b WINDOW o AS (PARTITION BY symbol ORDER BY t)", "tb")
@@ -47,14 +51,14 @@ def fracdiff_ffd(spark, sf):
     return br.fracdiff_ffd(src.bars(spark, sf), ["symbol"], "t", "close", 0.4, 1e-2, 20).select("symbol", "t", _r("fracdiff", 5))
 
 
-@query("fracdiff", """n AS (SELECT symbol, t // 86400 AS day, t, close, row_number() OVER (PARTITION BY symbol, t // 86400 ORDER BY t) - 1 AS k FROM b),
-w AS (SELECT 0 AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4::DOUBLE - k) / (k + 1) FROM w WHERE k < 40),
-p AS (SELECT a.symbol, a.day, a.t, a.k, sum(w.w * z.close) AS f FROM n a JOIN n z ON a.symbol = z.symbol AND a.day = z.day AND z.k <= a.k JOIN w ON w.k = a.k - z.k GROUP BY ALL),
-s AS (SELECT n.symbol, n.day, n.k, sum(abs(w.w)) OVER (PARTITION BY n.symbol, n.day ORDER BY n.k DESC ROWS UNBOUNDED PRECEDING) / sum(abs(w.w)) OVER (PARTITION BY n.symbol, n.day) AS share FROM n JOIN w USING (k)),
-c AS (SELECT symbol, day, count(*) FILTER (share > 0.2) AS skip FROM s GROUP BY ALL) |||
-SELECT symbol, day, t, round(f, 4) AS fracdiff FROM p JOIN c USING (symbol, day) WHERE k >= skip""", "tb", recursive=True)
+@query("fracdiff", """n AS (SELECT symbol, t, close, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS k FROM b),
+w AS (SELECT 0::BIGINT AS k, 1.0::DOUBLE AS w UNION ALL SELECT k + 1, -w * (0.4::DOUBLE - k) / (k + 1) FROM w WHERE k < (SELECT max(k) FROM n)),
+p AS (SELECT a.symbol, a.t, a.k, sum(w.w * z.close) AS f FROM n a JOIN n z ON a.symbol = z.symbol AND z.k <= a.k JOIN w ON w.k = a.k - z.k GROUP BY ALL),
+s AS (SELECT n.symbol, n.k, sum(abs(w.w)) OVER (PARTITION BY n.symbol ORDER BY n.k DESC ROWS UNBOUNDED PRECEDING) / sum(abs(w.w)) OVER (PARTITION BY n.symbol) AS share FROM n JOIN w USING (k)),
+c AS (SELECT symbol, count(*) FILTER (share > 0.05) AS skip FROM s GROUP BY ALL) |||
+SELECT symbol, t, round(f, 4) AS fracdiff FROM p JOIN c USING (symbol) WHERE k >= skip""", "tb", recursive=True)
 def fracdiff(spark, sf):
-    return br.fracdiff(_day(src.bars(spark, sf)), ["symbol", "day"], "t", "close", 0.4, 0.2).select("symbol", "day", "t", _r("fracdiff", 4))
+    return br.fracdiff(src.bars(spark, sf), ["symbol"], "t", "close", 0.4, 0.05).select("symbol", "t", _r("fracdiff", 4))
 
 
 def _messages(spark, sf):
@@ -79,7 +83,7 @@ def shannon(spark, sf):
     return _messages(spark, sf).select("symbol", "day", (F.round(br.shannon(F.col("message")), 6) + 0).alias("entropy"))
 
 
-@query("plug_in", _MSG + ", l AS (SELECT symbol, day, substr(message, i, 2) AS c FROM m, range(1, 1000) r(i) WHERE i + 2 <= length(message)), n AS (SELECT symbol, day, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY symbol, day) AS s FROM l GROUP BY symbol, day, c) ||| SELECT symbol, day, round(-sum(n / s * log2(n / s)) / 2, 6) + 0 AS entropy FROM n GROUP BY symbol, day", "t")
+@query("plug_in", _MSG + ", l AS (SELECT symbol, day, substr(message, i, 2) AS c FROM (SELECT *, unnest(range(1, greatest(length(message) - 1, 1))) AS i FROM m)), n AS (SELECT symbol, day, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY symbol, day) AS s FROM l GROUP BY symbol, day, c) ||| SELECT symbol, day, round(-sum(n / s * log2(n / s)) / 2, 6) + 0 AS entropy FROM n GROUP BY symbol, day", "t")
 def plug_in(spark, sf):
     return _messages(spark, sf).where("length(message) > 2").select("symbol", "day", (F.round(br.plug_in(F.col("message"), 2), 6) + 0).alias("entropy"))
 
@@ -197,7 +201,7 @@ _REL = "x AS (SELECT symbol, t, coalesce(close / lag(close) OVER (PARTITION BY s
 def olps_bah(spark, sf):
     from ..functions.windows import ordered
 
-    rows = src.bars(spark, sf).withColumn("c", F.col("close") / F.first("close").over(ordered(["symbol"], ["t"])))
+    rows = src.bars(spark, sf).withColumn("c", F.try_divide("close", F.first("close").over(ordered(["symbol"], ["t"]))))
     return rows.groupBy("t").agg(F.round(F.avg("c"), 5).alias("wealth"), F.count(F.lit(1)).alias("n"))
 
 
@@ -211,7 +215,7 @@ def olps_crp(spark, sf):
 
 @query("olps_best_stock", "x AS (SELECT symbol, arg_max(close, t) / arg_min(close, t) AS c FROM b GROUP BY ALL) ||| SELECT arg_max(symbol, c) AS symbol, round(max(c), 6) AS wealth FROM x", "tb")
 def olps_best_stock(spark, sf):
-    rows = src.bars(spark, sf).groupBy("symbol").agg((F.max_by("close", "t") / F.min_by("close", "t")).alias("c"))
+    rows = src.bars(spark, sf).groupBy("symbol").agg(F.try_divide(F.max_by("close", "t"), F.min_by("close", "t")).alias("c"))
     return rows.agg(F.max_by("symbol", "c").alias("symbol"), F.round(F.max("c"), 6).alias("wealth"))
 
 

@@ -38,12 +38,12 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, day (days since 1970), low, high, volume, dollar_total, vwap."""
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = F.try_divide("l_extendedprice", "l_quantity")
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_suppkey").alias("symbol"), F.floor(epoch_us("l_shipdate") / 86400000000).alias("day"))
         .agg(F.min(price).alias("low"), F.max(price).alias("high"), F.sum("l_quantity").alias("volume"), F.sum("l_extendedprice").alias("dollar_total"))
-        .withColumn("vwap", F.col("dollar_total") / F.col("volume"))
+        .withColumn("vwap", F.try_divide("dollar_total", "volume"))
     )
 
 
