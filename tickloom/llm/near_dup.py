@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: of the least id, then of the least text digest; nothing else is dropped."""
     found = saved(near_classes(docs), "near-classes")
-    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "copy", "row")).alias("best"))
+    best = found.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "copy", "row")).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = _small(saved(best.where("n > 1").drop("n"), "near-best"))
     gone = saved(found.join(best, "class").where("row <> best.row").select("doc_id", "copy", "class", F.col("best.doc_id").alias("best_id"), F.col("best.copy").alias("best_copy")), "near-gone")
     twin = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("copy") == F.col("best_copy"))
     key, other_id, other_key = unused(docs, "key", "other_id", "other_key")
