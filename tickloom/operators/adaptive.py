@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.fold import Kernel, ordered_fold
 from ..functions.joins import interval
 from ..functions.windows import ordered
-from .bars import side_in_bar
+from ..session import reachable
 
 Step = Callable[[float], float]
 
@@ -98,6 +98,38 @@ def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, make:
     return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
+class _Expanding(Kernel):
+    """The smoother of ``window`` from its row on; before, row ``i`` has that of window ``i + 1`` over the rows so far."""
+
+    def __init__(self, value: str, name: str, window: int, power: float, phase: float):
+        self.value, self.name, self.window, self.power, self.phase, self.head, self.step = value, name, window, power, phase, [], None
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for x in rows[self.value].to_numpy(float):
+            self.step = self.step or jma_step(float(x), self.window, self.power, self.phase)
+            now = self.step(x)
+            if len(self.head) < self.window - 1:
+                self.head.append(x)
+                short = jma_step(self.head[0], len(self.head), self.power, self.phase)
+                now = [short(v) for v in self.head][-1]
+            out.append(now)
+        return rows.assign(**{self.name: out})
+
+
+def jma_expanding(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 10, power: float = 1.0, phase: float = 0.0) -> DataFrame:
+    """``df`` with ``{value}_jma`` in every row: growing windows lead up to the full one."""
+    if window < 1:
+        raise ValueError("window must be 1 or more")
+    name = f"{value}_jma"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name) + f", `{name}` double"
+    return ordered_fold(df.drop(name), keys, order, lambda key: _Expanding(value, name, window, power, phase), schema)
+
+
+def jma_df(df: DataFrame, keys: list[str], order: list[str], value: str, window: int, power: float, phase: float = 0.0, expand: bool = False) -> DataFrame:
+    return jma_expanding(df, keys, order, value, window, power, phase) if expand else jma(df, keys, order, value, window, power, phase)
+
+
 def jma(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 10, power: float = 1.0, phase: float = 0.0, warm: bool = True) -> DataFrame:
     return smoothed(df, keys, order, value, lambda first: jma_step(first, window, power, phase), f"{value}_jma", window - 1 if warm else 0)
 
@@ -165,76 +197,213 @@ def adaptive_bars(ticks: DataFrame, keys: list[str], limits: dict) -> DataFrame:
     return out.withColumn("jma", F.when(~F.isnan("jma"), F.col("jma")))
 
 
-def _quantiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Volume-weighted 10, 50 and 90 % quantiles: the lower step, the middle of two where the weight is met exactly."""
-    over = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_c", F.sum("volume").over(over)).withColumn("_w", F.sum("volume").over(Window.partitionBy(*keys)))
-    pick = lambda q: ((F.min(F.when(F.col("_c") >= q * F.col("_w"), F.col(value))) + F.coalesce(F.min(F.when(F.col("_c") > q * F.col("_w"), F.col(value))), F.max(value))) / 2).alias(f"{value}_wq{round(100 * q)}")
-    mean = F.try_divide(F.sum(F.col("volume") * F.col(value)), F.sum("volume"))
-    square = F.try_divide(F.sum(F.col("volume") * F.col(value) * F.col(value)), F.sum("volume"))
-    return df.groupBy(*keys).agg(*[pick(q) for q in (0.1, 0.5, 0.9)], mean.alias(f"{value}_wmean"), F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias(f"{value}_wstd"))
+def weighted_quantile(values: np.ndarray, weights: np.ndarray, q: float) -> float:
+    """The lower step of the weighted distribution, the middle of two where the weight is met exactly."""
+    order = np.argsort(values, kind="stable")
+    run = np.cumsum(weights[order])
+    level = q * run[-1]
+    at = min(int(np.searchsorted(run, level, side="left")), len(order) - 1)
+    above = min(int(np.searchsorted(run, level, side="right")), len(order) - 1)
+    return float((values[order][at] + values[order][above]) / 2)
+
+
+BAR_COLUMNS = {
+    "bar": "long", "open_at": "long", "close_at": "long", "price_open": "double", "price_close": "double", "price_low": "double", "price_high": "double", "jma_open": "double", "jma_close": "double", "jma_low": "double", "jma_high": "double",
+    "tick_count": "long", "volume": "long", "dollars": "double", "tick_imbalance": "long", "volume_imbalance": "long", "dollar_imbalance": "double", "price_range": "double", "price_return": "double", "price_wq10": "double", "price_wq50": "double",
+    "price_wq90": "double", "price_wmean": "double", "price_wstd": "double", "jma_range": "double", "jma_return": "double", "jma_wq10": "double", "jma_wq50": "double", "jma_wq90": "double", "jma_wmean": "double", "jma_wstd": "double", "bar_trigger": "string",
+}
+
+
+def bar_row(bar: int, us: np.ndarray, price: np.ndarray, jma_: np.ndarray, volume: np.ndarray, trigger: str) -> dict:
+    """Times, price and jma statistics, counts and imbalances of one bar's ticks in order; sides start anew in the bar."""
+    change = np.sign(np.diff(price, prepend=price[0]))
+    last = np.maximum.accumulate(np.where(change != 0, np.arange(len(price)), 0))
+    side = change[last].astype(np.int64)
+    out = {"bar": bar, "open_at": us[0], "close_at": us[-1], "tick_count": len(us), "volume": volume.sum(), "dollars": (volume * price).sum(), "tick_imbalance": side.sum(), "volume_imbalance": (side * volume).sum(), "dollar_imbalance": (side * volume * price).sum(), "bar_trigger": trigger}
+    total = volume.sum()
+    for name, x in (("price", price), ("jma", jma_)):
+        out |= {f"{name}_open": x[0], f"{name}_close": x[-1], f"{name}_low": x.min(), f"{name}_high": x.max(), f"{name}_range": x.max() - x.min(), f"{name}_return": x[-1] - x[0]}
+        mean = (volume * x).sum() / total if total else np.nan
+        out |= {f"{name}_wq{round(100 * q)}": weighted_quantile(x, volume, q) for q in (0.1, 0.5, 0.9)}
+        out |= {f"{name}_wmean": mean, f"{name}_wstd": math.sqrt(max((volume * x * x).sum() / total - mean * mean, 0.0)) if total else np.nan}
+    return out
+
+
+class _BarRows(Kernel):
+    """One row a closed bar; holds the ticks of one open bar."""
+
+    def __init__(self, key: tuple, keys: list[str]):
+        self.key, self.keys, self.held = key, keys, []
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame | None:
+        rows = rows[rows["bar"].notna()]
+        ends = np.nonzero(rows["bar_trigger"].notna().to_numpy())[0] + 1
+        out, at = [], 0
+        for end in ends:
+            part = rows.iloc[at:end]
+            ticks = pd.concat([*self.held, part]) if self.held else part
+            self.held, at = [], end
+            out.append(bar_row(int(ticks["bar"].iloc[0]), *(ticks[c].to_numpy() for c in ("us", "price", "jma", "volume")), part["bar_trigger"].iloc[-1]))
+        if at < len(rows):
+            self.held.append(rows.iloc[at:])
+        if not out:
+            return None
+        found = pd.DataFrame(out)[list(BAR_COLUMNS)]
+        for k, v in reversed(list(zip(self.keys, self.key, strict=True))):
+            found.insert(0, k, v)
+        return found
+
+
+def _null_nans(df: DataFrame) -> DataFrame:
+    return df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
+
+
+def _key_schema(df: DataFrame, keys: list[str]) -> str:
+    types = dict(df.dtypes)
+    return ", ".join(f"`{k}` {types[k]}" for k in keys)
 
 
 def bar_features(ticks: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a closed bar: trigger, times, price and jma statistics, counts and imbalances (sides start anew in each bar)."""
-    own = [*keys, "bar"]
-    closed = ticks.where("bar_trigger IS NOT NULL").select(*own, "bar_trigger")
-    rows = side_in_bar(ticks.where("bar IS NOT NULL").join(closed.drop("bar_trigger"), own, "left_semi"), keys, ["us", "seq"], "bar")
-    place = F.struct("us", "seq")
-    side, v, p = F.col("side"), F.col("volume"), F.col("price")
-    stats = []
-    for c in ("price", "jma"):
-        stats += [F.min_by(c, place).alias(f"{c}_open"), F.max_by(c, place).alias(f"{c}_close"), F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high")]
-    out = rows.groupBy(*own).agg(
-        F.min("us").alias("open_at"), F.max("us").alias("close_at"), *stats, F.count(F.lit(1)).alias("tick_count"), F.sum(v).alias("volume"), F.sum(v * p).alias("dollars"),
-        F.sum(side).alias("tick_imbalance"), F.sum(side * v).alias("volume_imbalance"), F.sum(side * v * p).alias("dollar_imbalance"),
-    )
-    for c in ("price", "jma"):
-        out = out.withColumn(f"{c}_range", F.col(f"{c}_high") - F.col(f"{c}_low")).withColumn(f"{c}_return", F.col(f"{c}_close") - F.col(f"{c}_open"))
-        out = out.join(_quantiles(rows, own, c), own)
-    return out.join(closed, own)
+    """One row a closed bar of ticks that :func:`adaptive_bars` cut: a fold in order, no joins."""
+    schema = ", ".join([_key_schema(ticks, keys), *(f"{c} {t}" for c, t in BAR_COLUMNS.items())])
+    rows = ticks.where("bar IS NOT NULL").select(*keys, "us", "seq", "price", "volume", "jma", "bar", "bar_trigger")
+    return _null_nans(ordered_fold(rows, keys, ["us", "seq"], lambda key: _BarRows(key, keys), schema))
+
+
+LABEL_COLUMNS = {"bar": "long", "label_start_at": "long", "label_end_at": "long", "label_side": "string", "label_outcome": "string", "label_rrr": "double", "label_outcome_at": "long"}
+TREND_COLUMNS = {"label_trend_slope": "double", "label_trend_tvalue": "double", "label_trend_r2": "double"}
+Outcome = tuple[str, str, float, int | None]
+
+
+def outcomes(us: np.ndarray, jma_: np.ndarray, first: float, risk: float, rewards: list[float]) -> list[Outcome]:
+    """(side, goal, reward to risk, time or None) of each stop and target of a window, measured from its first price on ``jma``."""
+    out: list[Outcome] = []
+    for side, sign in (("long", 1), ("short", -1)):
+        move = (jma_ - first) * sign
+        for goal, hit, rrr in [("stop", move < -risk, -1.0), *(("profit", move >= risk * r, float(r)) for r in rewards)]:
+            at = int(hit.argmax()) if len(hit) and hit.any() else -1
+            out.append((side, goal, rrr * sign, int(us[at]) if at >= 0 else None))
+    return out
+
+
+def side_label(found: list[Outcome], side: str, end_at: int) -> tuple[str, float, int]:
+    """The largest reward reached before the stop (any, without one), then the stop, then neutral at the window's end."""
+    stop = next(at for s, goal, _, at in found if s == side and goal == "stop")
+    reached = [(abs(rrr), rrr, at) for s, goal, rrr, at in found if s == side and goal == "profit" and at is not None and (stop is None or at < stop)]
+    if reached:
+        _, rrr, at = max(reached, key=lambda x: x[0])
+        return "profit", rrr, at
+    return ("stop", -1.0 if side == "long" else 1.0, stop) if stop is not None else ("neutral", 0.0, end_at)
+
+
+def final_label(long: tuple[str, float, int], short: tuple[str, float, int]) -> tuple[str | None, str, float | None, int | None]:
+    """(side, outcome, reward to risk, time) of both sides' labels; unknown where they do not agree."""
+    if long[0] == "profit" and short[0] == "stop":
+        return "long", "profit", long[1], long[2]
+    if short[0] == "profit" and long[0] == "stop":
+        return "short", "profit", short[1], short[2]
+    if long[0] != "profit" and short[0] != "profit":
+        return "neutral", "neutral", 0.0, max(long[2], short[2])
+    return None, "unknown", None, None
+
+
+def trend(price: np.ndarray) -> tuple[float, float, float]:
+    """Slope, t-value of the constant and R squared of price on its place."""
+    n, x = len(price), np.arange(len(price))
+    mx, my = x.mean(), price.mean()
+    sxx, syy, sxy = ((x - mx) ** 2).sum(), ((price - my) ** 2).sum(), ((x - mx) * (price - my)).sum()
+    if n < 3 or sxx == 0:
+        return math.nan, math.nan, math.nan
+    slope = sxy / sxx
+    error = math.sqrt(max(syy - slope * sxy, 0.0) / (n - 2) * (1 / n + mx * mx / sxx))
+    return slope, (my - slope * mx) / error if error else math.nan, sxy * sxy / (sxx * syy) if syy else 1.0
+
+
+class LabelRules:
+    """How bars are labelled: stops and targets in price, windows in microseconds, fewest ticks of a window."""
+
+    def __init__(self, risk: float, horizon_us: int, rewards: list[float], delay_us: int = 3_000_000, least: int = 30, with_trend: bool = False):
+        self.risk, self.horizon, self.rewards, self.delay, self.least, self.with_trend = risk, horizon_us, rewards, delay_us, least, with_trend
+        self.columns = LABEL_COLUMNS | (TREND_COLUMNS if with_trend else {})
+
+    def label(self, bars: np.ndarray, close_at: np.ndarray, us: np.ndarray, price: np.ndarray, jma_: np.ndarray) -> pd.DataFrame:
+        """Labels of bars from the clean ticks in [close + delay, close + horizon); windows of too few ticks stay empty."""
+        rows = []
+        for bar, start in zip(bars, close_at):
+            end = start + self.horizon
+            lo, hi = np.searchsorted(us, [start + self.delay, end], side="left")
+            if hi - lo < self.least:
+                rows.append((bar, *[None] * (len(self.columns) - 1)))
+                continue
+            found = outcomes(us[lo:hi], jma_[lo:hi], price[lo], self.risk, self.rewards)
+            row = (bar, start, end, *final_label(side_label(found, "long", end), side_label(found, "short", end)))
+            rows.append(row + trend(price[lo:hi]) if self.with_trend else row)
+        return pd.DataFrame(rows, columns=list(self.columns)).astype({c: "Int64" for c, t in self.columns.items() if t == "long"})
+
+
+def label_ticks(bars: DataFrame, ticks: DataFrame, keys: list[str], horizon_us: int, delay_us: int = 3_000_000) -> DataFrame:
+    """(keys, bar, us, seq, price, jma): the clean ticks of each bar's window, as an interval join."""
+    spans = bars.select(*keys, "bar", (F.col("close_at") + delay_us).alias("_a"), (F.col("close_at") + horizon_us).alias("_b"))
+    clean = ticks.where("status LIKE 'clean%'").select(*keys, "us", "seq", "price", "jma")
+    return interval(clean, spans, keys, "us", "_a", "_b", horizon_us, closed=False).select(*keys, "bar", "us", "seq", "price", "jma")
 
 
 def label_bars(bars: DataFrame, ticks: DataFrame, keys: list[str], risk: float, horizon_us: int, rewards: list[float], delay_us: int = 3_000_000, least: int = 30, trend: bool = False) -> DataFrame:
-    """Triple-barrier labels of bars from the clean ticks in [close + delay, close + horizon).
+    """Triple-barrier labels of bars; bars with fewer than ``least`` ticks get null labels.
 
-    Stops and targets are measured from the window's first price on ``jma``; bars with fewer than ``least`` ticks get null labels.
+    Bars and clean ticks of one key (a symbol's day) meet in one task and are matched by binary search: no row is repeated
+    for the windows it lies in.
     """
-    spans = bars.select(*keys, "bar", F.col("close_at").alias("label_start_at")).withColumn("_a", F.col("label_start_at") + delay_us).withColumn("label_end_at", F.col("label_start_at") + horizon_us)
-    clean = ticks.where("status LIKE 'clean%'").select(*keys, F.col("us").alias("_us"), "seq", "price", "jma")
-    inside = interval(clean, spans, keys, "_us", "_a", "label_end_at", horizon_us, closed=False)
-    own = [*keys, "bar"]
-    over = ordered(own, ["_us", "seq"])
-    inside = inside.withColumn("_first", F.first("price").over(over)).withColumn("_i", (F.row_number().over(over) - 1).cast("double"))
-    hits, rules = [], []
-    for side, sign in (("long", 1), ("short", -1)):
-        move = (F.col("jma") - F.col("_first")) * sign
-        beyond = move < -risk
-        rules.append((f"{side}_stop", F.min(F.when(beyond, F.col("_us")))))
-        for k, reward in enumerate(rewards):
-            rules.append((f"{side}_{k}", F.min(F.when(move >= risk * reward, F.col("_us")))))
-    hits = [c.alias(n) for n, c in rules]
-    x, y = F.col("_i"), F.col("price")
-    line = [F.regr_slope(y, x).alias("label_trend_slope"), F.regr_r2(y, x).alias("label_trend_r2"), F.regr_intercept(y, x).alias("_b0"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"), F.avg(x).alias("_mx")] if trend else []
-    found = inside.groupBy(*own, "label_start_at", "label_end_at").agg(F.count(F.lit(1)).alias("_n"), *hits, *line).where(F.col("_n") >= least)
-    for side, sign in (("long", 1), ("short", -1)):
-        stop = F.col(f"{side}_stop")
-        # The largest reward reached before the stop (any, without one), then the stop, then neutral.
-        reached = [F.when(F.col(f"{side}_{k}").isNotNull() & (stop.isNull() | (F.col(f"{side}_{k}") < stop)), F.struct(F.lit(float(r)).alias("r"), F.col(f"{side}_{k}").alias("at"))) for k, r in enumerate(rewards)]
-        best = F.array_max(F.array_compact(F.array(*reached)))
-        found = found.withColumn(f"_{side}", F.when(best.isNotNull(), F.struct(F.lit("profit").alias("o"), (best["r"] * sign).alias("r"), best["at"].alias("at"))).when(stop.isNotNull(), F.struct(F.lit("stop").alias("o"), F.lit(-1.0 * sign).alias("r"), stop.alias("at"))).otherwise(F.struct(F.lit("neutral").alias("o"), F.lit(0.0).alias("r"), F.col("label_end_at").alias("at"))))
-    long, short = F.col("_long"), F.col("_short")
-    idle = lambda s: s["o"].isin("neutral", "stop")
-    pick = lambda a, b, c: F.when((long["o"] == "profit") & (short["o"] == "stop"), a).when((short["o"] == "profit") & (long["o"] == "stop"), b).when(idle(long) & idle(short), c)
-    out = found.withColumn("label_side", pick(F.lit("long"), F.lit("short"), F.lit("neutral"))).withColumn("label_outcome", F.coalesce(pick(F.lit("profit"), F.lit("profit"), F.lit("neutral")), F.lit("unknown")))
-    out = out.withColumn("label_rrr", pick(long["r"], short["r"], F.lit(0.0))).withColumn("label_outcome_at", pick(long["at"], short["at"], F.greatest(long["at"], short["at"])))
-    names = [*own, "label_start_at", "label_end_at", "label_side", "label_outcome", "label_rrr", "label_outcome_at"]
-    if trend:
-        n = F.col("_n")
-        error = F.sqrt((F.col("_syy") - F.col("label_trend_slope") * F.col("_sxy")) / (n - 2) * (1 / n + F.col("_mx") * F.col("_mx") / F.col("_sxx")))
-        out = out.withColumn("label_trend_tvalue", F.try_divide("_b0", error))
-        names += ["label_trend_slope", "label_trend_tvalue", "label_trend_r2"]
-    return bars.select(*own).join(out.select(*names), own, "left")
+    rules = LabelRules(risk, horizon_us, rewards, delay_us, least, trend)
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("bar"), right.sort_values(["us", "seq"])
+        found = rules.label(left["bar"].to_numpy(), left["close_at"].to_numpy(), *(right[c].to_numpy() for c in ("us", "price", "jma")))
+        for k, v in reversed(list(zip(keys, key, strict=True))):
+            found.insert(0, k, v)
+        return found
+
+    reachable(bars.sparkSession)
+    clean = ticks.where("status LIKE 'clean%'").select(*keys, "us", "seq", "price", "jma")
+    schema = ", ".join([_key_schema(bars, keys), *(f"{c} {t}" for c, t in rules.columns.items())])
+    return _null_nans(bars.select(*keys, "bar", "close_at").groupBy(*keys).cogroup(clean.groupBy(*keys)).applyInPandas(run, schema))
+
+
+class _Day(Kernel):
+    """Features and labels of all bars of a key: its clean ticks are held until it ends."""
+
+    def __init__(self, key: tuple, keys: list[str], rules: LabelRules):
+        self.key, self.keys, self.rules, self.rows, self.bars, self.ticks = key, keys, rules, _BarRows(key, keys), [], []
+
+    def feed(self, rows: pd.DataFrame) -> None:
+        if (found := self.rows.feed(rows)) is not None:
+            self.bars.append(found)
+        self.ticks.append(rows.loc[rows["status"].str.startswith("clean"), ["us", "price", "jma"]])
+
+    def end(self) -> pd.DataFrame | None:
+        if not self.bars:
+            return None
+        bars, ticks = pd.concat(self.bars, ignore_index=True), pd.concat(self.ticks)
+        labels = self.rules.label(bars["bar"].to_numpy(), bars["close_at"].to_numpy(), *(ticks[c].to_numpy() for c in ("us", "price", "jma")))
+        return pd.concat([bars, labels.drop(columns="bar")], axis=1)
+
+
+def bar_workflow(ticks: DataFrame, keys: list[str], rules: LabelRules) -> DataFrame:
+    """Features and labels of bars in one fold over cut ticks."""
+    schema = ", ".join([_key_schema(ticks, keys), *(f"{c} {t}" for c, t in (BAR_COLUMNS | {k: v for k, v in rules.columns.items() if k != "bar"}).items())])
+    rows = ticks.select(*keys, "us", "seq", "price", "volume", "status", "jma", "bar", "bar_trigger")
+    return _null_nans(ordered_fold(rows, keys, ["us", "seq"], lambda key: _Day(key, keys, rules), schema))
+
+
+def bar_date_stats(bars: DataFrame, keys: list[str], date: str, imbalance: float) -> DataFrame:
+    """Per date: bars, a quantile of their volume imbalance, mean and median duration (minutes) and range, the quantile's smooth and its last value."""
+    minutes = (F.col("close_at") - F.col("open_at")) / 60_000_000
+    rows = bars.groupBy(*keys, date).agg(
+        F.count(F.lit(1)).alias("bar_count"), F.percentile(F.col("volume_imbalance").cast("double"), imbalance).alias("imbalance_thresh"), F.avg(minutes).alias("duration_min_mean"), F.percentile(minutes, 0.5).alias("duration_min_median"),
+        F.avg("price_range").alias("price_range_mean"), F.percentile("price_range", 0.5).alias("price_range_median"),
+    )
+    out = jma(rows, keys, [date], "imbalance_thresh", 5, 1)
+    return out.withColumn("imbalance_thresh_jma_lag", F.lag("imbalance_thresh_jma").over(ordered(keys, [date]))).dropna()
 
 
 def futures_roll(df: DataFrame, keys: list[str], time: str, contract: str, ratio: bool = False, backward: bool = True) -> DataFrame:

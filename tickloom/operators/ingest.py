@@ -1,10 +1,18 @@
-"""Ingest normalisation and scalar filters: Catalyst expressions only."""
+"""Ingest normalisation and scalar filters: Catalyst expressions, and a fold for rolling medians."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import Kernel, ordered_fold
+from ..functions.windows import clip
+
 # Trade condition codes that mark irregular trades.
 IRREGULAR = [2, 5, 7, 10, 13, 15, 16, 20, 21, 22, 29, 33, 38, 52, 53]
 AFTER_HOURS = 12
@@ -98,29 +106,63 @@ def trade_means(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.try_divide(F.sum(F.col("price") * F.col("volume")), F.sum("volume")).alias("vwap"), F.avg("volume").alias("avg_tick_size"))
 
 
+class RunningMedian:
+    """Median of the last ``n`` pushed values, the missing ones left out; a push takes a binary search."""
+
+    def __init__(self, n: int):
+        self.n, self.queue, self.sorted = n, deque(), []
+
+    def push(self, x: float | None) -> None:
+        self.queue.append(x)
+        if x is not None:
+            insort(self.sorted, x)
+        if len(self.queue) > self.n and (old := self.queue.popleft()) is not None:
+            del self.sorted[bisect_left(self.sorted, old)]
+
+    def value(self) -> float | None:
+        n = len(self.sorted)
+        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2 if n else None
+
+
+class _Mad(Kernel):
+    """Rolling medians of values and of their distances, which stay in memory for one window."""
+
+    def __init__(self, value: str, window: int, deviation_window: int, signed: bool):
+        self.value, self.window, self.signed = value, window, signed
+        self.middle, self.spread, self.n = RunningMedian(window), RunningMedian(deviation_window), 0
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        medians, deviations = [], []
+        for x in rows[self.value].to_numpy(float).tolist():
+            x = None if x != x else x
+            self.middle.push(x)
+            m = self.middle.value() if self.signed or len(self.middle.sorted) == self.window else None
+            d = None if m is None or x is None else x - m if self.signed else abs(x - m)
+            self.spread.push(d)
+            medians.append(m)
+            deviations.append(self.spread.value() if self.signed or len(self.spread.sorted) >= self.window else None)
+        self.n += len(rows)
+        return rows.assign(_m=np.array(medians, float), _dm=np.array(deviations, float), _n=np.arange(self.n - len(rows) + 1, self.n + 1))
+
+
+def _mad(df: DataFrame, keys: list[str], order: list[str], value: str, window: int, deviation_window: int, signed: bool) -> DataFrame:
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _m double, _dm double, _n long"
+    out = ordered_fold(df, keys, order, lambda key: _Mad(value, window, deviation_window, signed), schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("_m", "_dm")}).withColumn("_dm", clip(F.col("_dm"), 0.005, 0.05))
+
+
 def mad_filter(df: DataFrame, keys: list[str], order: list[str], value: str = "price", window: int = 11, deviation_window: int = 333, k: float = 22.0) -> DataFrame:
     """Rolling median and median absolute deviation; ``mad_outlier`` where the distance exceeds ``k`` deviations."""
-    from ..functions.windows import clip, ordered, rolling_median
-
-    over = ordered(keys, order)
-    df = df.withColumn("_m", rolling_median(F.col(value), over, window))
-    df = df.withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    df = df.withColumn("deviation", clip(rolling_median(F.col("_d"), over, deviation_window, window), 0.005, 0.05))
-    df = df.withColumnRenamed("_m", "median").where(F.col("median").isNotNull() & F.col("deviation").isNotNull())
-    return df.withColumn("mad_outlier", F.abs(F.col(value) - F.col("median")) > k * F.col("deviation")).drop("_d")
+    df = _mad(df, keys, order, value, window, deviation_window, False).withColumnsRenamed({"_m": "median", "_dm": "deviation"}).drop("_n")
+    df = df.where(F.col("median").isNotNull() & F.col("deviation").isNotNull())
+    return df.withColumn("mad_outlier", F.abs(F.col(value) - F.col("median")) > k * F.col("deviation"))
 
 
 def mad_stream_status(df: DataFrame, keys: list[str], order: list[str], value: str = "price", window: int = 11, deviation_window: int = 333, k: float = 22.0) -> DataFrame:
-    """``mad_status``: warmup until ``window`` values, then outlier or clean; deviations keep their sign."""
-    from ..functions.windows import clip, ordered
-
-    over = ordered(keys, order)
-    frame, deviations = over.rowsBetween(-(window - 1), 0), over.rowsBetween(-(deviation_window - 1), 0)
-    df = df.withColumn("_m", F.percentile(F.col(value), 0.5).over(frame)).withColumn("_n", F.row_number().over(over))
-    df = df.withColumn("_d", F.col(value) - F.col("_m"))
-    df = df.withColumn("_dm", clip(F.percentile("_d", 0.5).over(deviations), 0.005, 0.05))
-    far = F.abs(F.col("_d")) > k * F.col("_dm")
-    return df.withColumn("mad_status", F.when(F.col("_n") < window, "mad_warmup").when(far, "mad_outlier").otherwise("mad_clean")).drop("_m", "_n", "_d", "_dm")
+    """``mad_status``: warmup until ``window`` rows, then outlier or clean; deviations keep their sign."""
+    df = _mad(df, keys, order, value, window, deviation_window, True)
+    far = F.abs(F.col(value) - F.col("_m")) > k * F.col("_dm")
+    return df.withColumn("mad_status", F.when(F.col("_n") < window, "mad_warmup").when(far, "mad_outlier").otherwise("mad_clean")).drop("_m", "_n", "_dm")
 
 
 def tick_status(df: DataFrame, hour: Column, delta_s: Column, irregular_flag: Column) -> DataFrame:
