@@ -81,6 +81,17 @@ def haircuts(p: float, others: np.ndarray) -> dict[str, float]:
     return {"bonferroni": float(min(1.0, p * n)), "holm": float(holm), "bhy": float(bhy)}
 
 
+def adjusted_p(df: DataFrame, name: str, p: str) -> DataFrame:
+    """``bonferroni``, ``holm`` and ``bhy``: p-values of many tests adjusted for their number; one narrow row a test."""
+    every = Window.partitionBy(F.lit(0))
+    over = every.orderBy(p, name)
+    n = F.count(F.lit(1)).over(every)
+    rows = df.withColumns({"_n": n, "_k": F.row_number().over(over) - 1}).withColumn("_c", F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: 1.0 / i), F.lit(0.0), lambda a, x: a + x))
+    one = lambda c: F.least(F.lit(1.0), c)
+    rows = rows.withColumn("bonferroni", one(F.col(p) * F.col("_n"))).withColumn("holm", one(F.max((F.col("_n") - F.col("_k")) * F.col(p)).over(over.rowsBetween(Window.unboundedPreceding, 0))))
+    return rows.withColumn("bhy", one(F.min(F.col(p) * F.col("_n") * F.col("_c") / (F.col("_k") + 1)).over(over.rowsBetween(0, Window.unboundedFollowing)))).drop("_n", "_k", "_c")
+
+
 def best_constant(x: np.ndarray, steps: int = 500) -> np.ndarray:
     """Constant weights of the largest final wealth in hindsight (projected gradient on log wealth)."""
     w = np.full(x.shape[1], 1 / x.shape[1])

@@ -278,18 +278,30 @@ def futures_roll(spark, sf):
     return ad.futures_roll(src.bars(spark, sf).withColumn("contract", F.floor(F.col("t") / 86400)), KEY, "t", "contract").select("symbol", "t", (F.round("gap", 4) + 0.0).alias("gap"))
 
 
-@query("daily_vol")
+@query("daily_vol", """h AS (SELECT a.symbol, a.t, a.close, (SELECT arg_max(z.close, z.t) FROM b z WHERE z.symbol = a.symbol AND z.t < a.t - 86400) AS p FROM b a), r AS (SELECT symbol, t, close / p - 1 AS x, row_number() OVER (PARTITION BY symbol ORDER BY t) AS k FROM h WHERE p IS NOT NULL),
+w AS (SELECT a.symbol, a.t, a.x AS ret, pow(1 - 2.0::DOUBLE / 51, a.k - z.k) AS w, z.x FROM r a JOIN r z ON z.symbol = a.symbol AND z.k <= a.k), m AS (SELECT symbol, t, any_value(ret) AS ret, sum(w) AS s, sum(w * w) AS s2, sum(w * x) / sum(w) AS mean FROM w GROUP BY symbol, t),
+v AS (SELECT w.symbol, w.t, sum(w * pow(x - mean, 2)) AS ss FROM w JOIN m USING (symbol, t) GROUP BY ALL) ||| SELECT symbol, t, round(ret, 5) + 0 AS ret, round(CASE WHEN s - s2 / s > 1e-9 THEN sqrt(ss / (s - s2 / s)) END, 4) AS daily_vol FROM m JOIN v USING (symbol, t)""", "tb")
 def daily_vol(spark, sf):
-    return ad.daily_volatility(src.bars(spark, sf), KEY, "t", "close", 86400, 50).select("symbol", "t", _r("ret"), _r("daily_vol"))
+    return ad.daily_volatility(src.bars(spark, sf), KEY, "t", "close", 86400, 50).select("symbol", "t", (F.round("ret", 5) + 0.0).alias("ret"), _r("daily_vol", 4))
 
 
-@query("etf_trick")
+@query("etf_trick", """d0 AS (SELECT t // 86400 AS day, symbol AS sec, arg_min(open, t) AS open, arg_max(close, t) AS close, CASE WHEN t // 86400 // 7 % 2 = 0 THEN 0.2 ELSE 0.1 END::DOUBLE AS weight FROM b GROUP BY ALL),
+e AS (SELECT *, lead(open) OVER o AS nx, close - lag(close) OVER o AS dc, lag(weight) OVER o AS wp, sum(weight) OVER (PARTITION BY day) AS total FROM d0 WINDOW o AS (PARTITION BY sec ORDER BY day)),
+a AS (SELECT day, row_number() OVER (ORDER BY day) AS k, bool_or(wp IS NULL OR wp <> weight) AS chg, list(coalesce(weight / (nx * total), 0) ORDER BY sec) AS u, list(coalesce(dc, 0) ORDER BY sec) AS dc, list(close - open ORDER BY sec) AS dn FROM e GROUP BY day),
+r AS (SELECT day, k, 1.0::DOUBLE AS v, u AS held, true AS fresh FROM a WHERE k = 1
+UNION ALL SELECT day, k, v, CASE WHEN chg THEN list_transform(u, lambda x: x * v) ELSE held END, chg FROM (SELECT a.day, a.k, a.chg, a.u, r.held, r.v + list_sum(list_transform(range(1, len(r.held) + 1), lambda i: r.held[i] * CASE WHEN r.fresh THEN a.dn[i] ELSE a.dc[i] END)) AS v FROM r JOIN a ON a.k = r.k + 1)) |||
+SELECT day, round(v, 5) AS value FROM r WHERE k > 1""", "tb", recursive=True)
 def etf_trick(spark, sf):
     rows = src.bars(spark, sf).withColumn("day", F.floor(F.col("t") / 86400)).groupBy("day", F.col("symbol").alias("sec")).agg(F.min_by("open", "t").alias("open"), F.max_by("close", "t").alias("close"))
     return ad.etf_trick(rows.withColumns({"weight": F.when(F.floor(F.col("day") / 7) % 2 == 0, 0.2).otherwise(0.1), "cost": F.lit(0.0), "rate": F.lit(1.0)}), "day").select("day", _r("value"))
 
 
-@query("holding_period")
+@query("holding_period", """n AS (SELECT symbol, (us - min(us) OVER (PARTITION BY symbol)) / 86400000000.0::DOUBLE AS moment, (volume % 5 - 2)::DOUBLE AS pos, row_number() OVER (PARTITION BY symbol ORDER BY us) AS k FROM t),
+r AS (SELECT symbol, 0::BIGINT AS k, 0.0::DOUBLE AS entry, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS s, 0.0::DOUBLE AS w FROM n WHERE k = 1
+UNION ALL SELECT symbol, k, CASE WHEN ch * old >= 0 THEN CASE WHEN pos <> 0 THEN (entry * old + moment * ch) / pos ELSE entry END WHEN pos * old < 0 THEN moment ELSE entry END, pos,
+ s + CASE WHEN ch * old >= 0 THEN 0 WHEN pos * old < 0 THEN (moment - entry) * abs(old) ELSE (moment - entry) * abs(ch) END, w + CASE WHEN ch * old >= 0 THEN 0 WHEN pos * old < 0 THEN abs(old) ELSE abs(ch) END
+FROM (SELECT n.symbol, n.k, n.moment, n.pos, n.pos - r.pos AS ch, r.pos AS old, r.entry, r.s, r.w FROM r JOIN n ON n.symbol = r.symbol AND n.k = r.k + 1)) |||
+SELECT symbol, round(arg_max(s, k) / nullif(arg_max(w, k), 0), 5) AS holding FROM r GROUP BY symbol""", "t", recursive=True)
 def holding_period(spark, sf):
     return ad.holding_period(src.ticks(spark, sf).withColumn("pos", F.col("volume") % 5 - 2), KEY, "us", "pos", 86400e6).select("symbol", _r("holding"))
 

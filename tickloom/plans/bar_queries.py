@@ -90,10 +90,49 @@ def _expected(kind: str, metric: str, prev: int | None):
     return run
 
 
+def _mean_sql(values: str, window: str) -> str:
+    """Last value of the bias-corrected exponential mean of a list's last ``window`` values."""
+    last, keep = f"{values}[greatest(1, len({values}) - ({window}) + 1):]", f"(1 - 2.0::DOUBLE / (({window}) + 1))"
+    return f"(list_sum(list_transform({last}, lambda v, i: v * pow({keep}, len({last}) - i))) / list_sum(list_transform({last}, lambda v, i: pow({keep}, len({last}) - i))))"
+
+
+def _expected_sql(kind: str, metric: str, prev: int | None) -> str:
+    """The same bars tick by tick, with the histories as lists of the last 100 values."""
+    size = {"tick": "1.0::DOUBLE", "volume": "x.volume::DOUBLE", "dollar": "x.price * x.volume"}[metric]
+    run = kind == "run"
+    keep = "list_append({0}, {1})[greatest(1, len({0}) - 98):]"
+    next_ticks = f"CASE WHEN done THEN least(greatest({_mean_sql('sizes', '3')}, 10), 200) ELSE et END" if prev else "et"
+    shares = _mean_sql("shares", str(prev) if prev else "len(shares)")
+    state = "a1, a2, up, h1, h2, e1, e2, share"
+    start = "0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2, 0 AS up, []::DOUBLE[] AS h1, []::DOUBLE[] AS h2, NULL::DOUBLE AS e1, NULL::DOUBLE AS e2, NULL::DOUBLE AS share"
+    # One tick: sums and histories; first expectations; the test; what a closed bar leaves behind.
+    if run:
+        summed = f"a1 + greatest(sg, 0) AS a1, a2 + greatest(-sg, 0) AS a2, up + CASE WHEN side = 1 THEN 1 ELSE 0 END AS up, CASE WHEN sg > 0 THEN {keep.format('h1', 'sg')} ELSE h1 END AS h1, CASE WHEN sg < 0 THEN {keep.format('h2', '-sg')} ELSE h2 END AS h2"
+        known = "e1 IS NULL AND len(h1) >= 30 AND len(h2) >= 30"
+        first = f"CASE WHEN {known} THEN {_mean_sql('h1', '100')} ELSE e1 END AS e1, CASE WHEN {known} THEN {_mean_sql('h2', '100')} ELSE e2 END AS e2, CASE WHEN {known} THEN up::DOUBLE / n ELSE share END AS share"
+        done = "CASE WHEN e1 IS NULL THEN false ELSE greatest(a1, a2) > et * greatest(e1 * share, e2 * (1 - share)) END"
+        after = f"CASE WHEN done THEN {_mean_sql('h1', '100')} ELSE e1 END AS e1, CASE WHEN done THEN {_mean_sql('h2', '100')} ELSE e2 END AS e2, CASE WHEN done THEN {shares} ELSE share END AS share"
+    else:
+        summed = f"a1 + sg AS a1, a2, up, {keep.format('h1', 'sg')} AS h1, h2"
+        first = f"CASE WHEN e1 IS NULL AND len(h1) >= 30 THEN {_mean_sql('h1', '100')} ELSE e1 END AS e1, e2, share"
+        done = "CASE WHEN e1 IS NULL THEN false ELSE abs(a1) > et * abs(e1) END"
+        after = f"CASE WHEN done THEN {_mean_sql('h1', '100')} ELSE e1 END AS e1, e2, share"
+    base = "symbol, tick_num, us, price, volume, side, sg"
+    return _SIDE + f""", r AS (SELECT symbol, 0::BIGINT AS tick_num, 0::BIGINT AS us, 0.0::DOUBLE AS price, 0::BIGINT AS volume, 0 AS side, 0.0::DOUBLE AS sg, 0::BIGINT AS n, 0 AS bar, 30.0::DOUBLE AS et, []::DOUBLE[] AS sizes, []::DOUBLE[] AS shares, {start}, false AS done FROM x WHERE tick_num = 1
+UNION ALL SELECT {base}, n, bar, {next_ticks}, sizes, shares, a1, a2, up, h1, h2, {after}, done FROM (
+SELECT * REPLACE (CASE WHEN done THEN list_append(sizes, n::DOUBLE) ELSE sizes END AS sizes, CASE WHEN done THEN list_append(shares, up::DOUBLE / n) ELSE shares END AS shares) FROM (
+SELECT *, {done} AS done FROM (
+SELECT {base}, n, bar, et, sizes, shares, a1, a2, up, h1, h2, {first} FROM (
+SELECT {base}, n + 1 AS n, bar, et, sizes, shares, {summed}, e1, e2, share FROM (
+SELECT x.symbol, x.tick_num, x.us, x.price, x.volume, x.side, x.side * ({size}) AS sg, CASE WHEN r.done THEN 0 ELSE r.n END AS n, r.bar + CASE WHEN r.done THEN 1 ELSE 0 END AS bar, r.et, r.sizes, r.shares,
+ CASE WHEN r.done THEN 0 ELSE r.a1 END AS a1, CASE WHEN r.done THEN 0 ELSE r.a2 END AS a2, CASE WHEN r.done THEN 0 ELSE r.up END AS up, r.h1, r.h2, r.e1, r.e2, r.share FROM r JOIN x ON x.symbol = r.symbol AND x.tick_num = r.tick_num + 1)))))),
+y AS (SELECT * FROM r WHERE tick_num > 0) ||| SELECT symbol, max(us) AS date_time, max(tick_num) AS tick_num, {_ROW} FROM y GROUP BY symbol, bar HAVING bool_or(done)"""
+
+
 for _kind in ("imbalance", "run"):
     for _name, _prev in (("ema", 3), ("const", None)):
         for _metric in ("tick", "volume", "dollar"):
-            query(f"{_name}_{_metric}_{_kind}_bars")(_expected(_kind, _metric, _prev))
+            query(f"{_name}_{_metric}_{_kind}_bars", _expected_sql(_kind, _metric, _prev), "t", recursive=True)(_expected(_kind, _metric, _prev))
 
 
 @query("find_bar_params", "|||SELECT symbol, round(count(*) / 50.0, 6)::DOUBLE AS tick_threshold, round(sum(volume) / 50.0, 6)::DOUBLE AS volume_threshold, round(sum(price * volume) / 50, 4) AS dollar_threshold FROM t GROUP BY ALL", "t")

@@ -11,7 +11,7 @@ from ..operators import labels as lb
 from ..operators import matrices as mx
 from ..sources import testdata as src
 from . import label_queries as lq
-from .registry import query
+from .registry import normal_sql, query
 
 
 @query("cluster_eval", "c AS (SELECT n_regionkey AS a, s_suppkey % 4 AS z, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS ab, sum(n) AS n FROM c), l AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY a)), r AS (SELECT sum(n * (n - 1) / 2.0::DOUBLE) AS v FROM (SELECT sum(n) AS n FROM c GROUP BY z)) ||| SELECT round((ab - l.v * r.v / (n * (n - 1) / 2.0::DOUBLE)) / ((l.v + r.v) / 2 - l.v * r.v / (n * (n - 1) / 2.0::DOUBLE)), 6) AS ari FROM x, l, r")
@@ -47,7 +47,10 @@ def graph_api(spark, sf):
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
-@query("distance_correlation")
+@query("distance_correlation", lq._RET + """, z AS (SELECT symbol, t // 86400 AS day, t, r, lag(r) OVER (PARTITION BY symbol ORDER BY t) AS g FROM y), u AS (SELECT * FROM z WHERE g IS NOT NULL),
+p AS (SELECT a.symbol, a.day, a.t AS i, c.t AS j, abs(a.r - c.r) AS a, abs(a.g - c.g) AS b FROM u a JOIN u c USING (symbol, day)),
+q AS (SELECT symbol, day, a - avg(a) OVER i - avg(a) OVER j + avg(a) OVER w AS a, b - avg(b) OVER i - avg(b) OVER j + avg(b) OVER w AS b FROM p WINDOW i AS (PARTITION BY symbol, day, i), j AS (PARTITION BY symbol, day, j), w AS (PARTITION BY symbol, day)) |||
+SELECT symbol, day, round(CASE WHEN count(*) > 4 THEN sqrt(greatest(avg(a * b), 0) / sqrt(avg(a * a) * avg(b * b))) END, 4) AS value FROM q GROUP BY ALL""", "tb")
 def distance_correlation(spark, sf):
     # One symbol-day is a bounded group of rows.
     import pandas as pd
@@ -58,7 +61,8 @@ def distance_correlation(spark, sf):
         value = mx.distance_correlation(pdf["ret"].to_numpy(float), pdf["lag"].to_numpy(float)) if len(pdf) > 2 else None
         return pdf[["symbol", "day"]].head(1).assign(value=value)
 
-    return rows.groupBy("symbol", "day").applyInPandas(run, "symbol string, day long, value double")
+    out = rows.groupBy("symbol", "day").applyInPandas(run, "symbol string, day long, value double")
+    return out.select("symbol", "day", F.when(~F.isnan("value"), F.round("value", 4)).alias("value"))
 
 
 @query("seq_bootstrap")
@@ -83,16 +87,16 @@ def min_ffd(spark, sf):
 
     import pandas as pd
 
-    rows, out = src.bars(spark, sf).withColumn("y", F.ln("close")), None
+    rows = src.bars(spark, sf).withColumn("y", F.ln("close"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         return pdf[["symbol", "d"]].head(1).assign(adf=ex.adf(pdf["fracdiff"].to_numpy(float)), corr=float(np.corrcoef(pdf["fracdiff"], pdf["y"])[0, 1]))
 
-    for k in range(11):
-        part = fracdiff_ffd(rows, ["symbol"], "t", "y", k / 10, 1e-2, 20).where("fracdiff IS NOT NULL").select("symbol", "t", "y", "fracdiff", F.lit(k / 10).alias("d"))
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("symbol", "d").applyInPandas(run, "symbol string, d double, adf double, corr double")
+    for k in range(11):  # all orders over one window
+        rows = fracdiff_ffd(rows, ["symbol"], "t", "y", k / 10, 1e-2, 20).withColumnRenamed("fracdiff", f"f{k}")
+    long = rows.select("symbol", "t", "y", F.explode(F.array(*[F.struct(F.lit(k / 10).alias("d"), F.col(f"f{k}").alias("fracdiff")) for k in range(11)])).alias("_x")).select("symbol", "t", "y", "_x.*")
+    return long.where("fracdiff IS NOT NULL").groupBy("symbol", "d").applyInPandas(run, "symbol string, d double, adf double, corr double")
 
 
 def _corr(spark, sf):
@@ -106,10 +110,15 @@ def kl_distance(spark, sf):
     return spark.createDataFrame([(kl, norm)], "kl double, norm double")
 
 
-@query("haircut_sharpe")
+@query("haircut_sharpe", lq._RET + f""", s AS (SELECT symbol, abs(avg(r) / stddev_samp(r) * sqrt(count(*))) AS z FROM y GROUP BY ALL), p AS (SELECT symbol, 2 * (1 - {normal_sql('z')}) AS p FROM s),
+k AS (SELECT *, row_number() OVER (ORDER BY p, symbol) - 1 AS k, count(*) OVER () AS n FROM p), c AS (SELECT sum(1.0::DOUBLE / i) AS c FROM (SELECT unnest(range(1, max(n) + 1)) AS i FROM k)) |||
+SELECT symbol, round(p, 5) AS p, round(least(1, p * n), 4) AS bonferroni, round(least(1, max((n - k) * p) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)), 4) AS holm, round(least(1, min(p * n * c / (k + 1)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 4) AS bhy FROM k, c""", "tb")
 def haircut_sharpe(spark, sf):
-    found = ex.haircuts(0.004, np.linspace(0.001, 0.9, 40))
-    return spark.createDataFrame(sorted(found.items()), "method string, p double")
+    from ..functions.stats import normal_cdf
+
+    stats = lq._returns(spark, sf).groupBy("symbol").agg((F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.count("ret").cast("double"))).alias("z"))
+    rows = ex.adjusted_p(stats.select("symbol", (2 * (1 - normal_cdf(F.abs("z")))).alias("p")), "symbol", "p")
+    return rows.select("symbol", F.round("p", 5).alias("p"), *[F.round(c, 4).alias(c) for c in ("bonferroni", "holm", "bhy")])
 
 
 @query("random_walk")

@@ -8,7 +8,7 @@ from ..operators import backtest as bt
 from ..operators import market as mk
 from ..sources import testdata as src
 from . import label_queries as lq
-from .registry import query
+from .registry import normal_sql, query
 
 
 def _r(c: str, n: int = 6):
@@ -111,10 +111,10 @@ def discrete_signal(spark, sf):
     return src.ticks(spark, sf).select("seq", bt.discrete_signal((F.col("price") - 50) / 25, 0.25).alias("signal"))
 
 
-@query("bet_size_probability")
+@query("bet_size_probability", f"x AS (SELECT seq, (volume + 0.5::DOUBLE) / 100 AS p FROM t), y AS (SELECT *, (p - 0.5) / sqrt(p * (1 - p)) AS z FROM x) ||| SELECT seq, round((CASE WHEN seq % 2 = 0 THEN 1 ELSE -1 END) * (2 * {normal_sql('z')} - 1), 5) + 0 AS bet_size FROM y", "t")
 def bet_size_probability(spark, sf):
     p = (F.col("volume") + 0.5) / 100
-    return src.ticks(spark, sf).select("seq", F.round(bt.bet_size_probability(p, F.when(F.col("seq") % 2 == 0, 1).otherwise(-1)), 6).alias("bet_size"))
+    return src.ticks(spark, sf).select("seq", (F.round(bt.bet_size_probability(p, F.when(F.col("seq") % 2 == 0, 1).otherwise(-1)), 5) + 0.0).alias("bet_size"))
 
 
 @query("bet_size_budget", _SIG + ", c AS (SELECT DISTINCT a.symbol, a.t0 AS t, (SELECT count(*) FROM w x WHERE x.symbol = a.symbol AND x.side > 0 AND x.t0 <= a.t0 AND x.t1 > a.t0) AS longs, (SELECT count(*) FROM w x WHERE x.symbol = a.symbol AND x.side < 0 AND x.t0 <= a.t0 AND x.t1 > a.t0) AS shorts FROM w a) ||| SELECT symbol, t, longs, shorts, round(coalesce(longs::DOUBLE / nullif(max(longs) OVER (PARTITION BY symbol), 0), 0) - coalesce(shorts::DOUBLE / nullif(max(shorts) OVER (PARTITION BY symbol), 0), 0), 6) AS bet_size FROM c", "tb")
@@ -152,10 +152,11 @@ def sharpe_ir(spark, sf):
     return bt.sharpe(lq._returns(spark, sf), ["symbol"], "ret").select("symbol", _r("sharpe", 5))
 
 
-@query("psr_dsr")
+@query("psr_dsr", lq._RET + f""", m AS (SELECT symbol, avg(r) / stddev_samp(r) AS sr, count(r) AS n, avg(r) AS mu, stddev_pop(r) AS sd FROM y GROUP BY ALL), k AS (SELECT y.symbol, avg(pow((r - mu) / sd, 3)) AS skew, avg(pow((r - mu) / sd, 4)) AS kurt FROM y JOIN m USING (symbol) GROUP BY ALL),
+j AS (SELECT m.symbol, sr, (sr - 0.1) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z, 1 + (1 - skew * sr + (kurt - 1) / 4 * sr * sr) * pow(1.6448536::DOUBLE / sr, 2) AS least FROM m JOIN k USING (symbol)) ||| SELECT symbol, round({normal_sql('z')}, 5) AS psr, round(least, 3) AS min_length FROM j""", "tb")
 def psr_dsr(spark, sf):
     stats = lq._returns(spark, sf).groupBy("symbol").agg((F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.count("ret").alias("n"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
-    return stats.select("symbol", F.round(bt.probabilistic_sharpe(F.col("sr"), F.lit(0.1), F.col("n"), F.col("skew"), F.col("kurt")), 6).alias("psr"), F.round(bt.minimum_track_record(F.col("sr"), F.lit(0.0), F.col("skew"), F.col("kurt"), 1.6448536), 4).alias("min_length"))
+    return stats.select("symbol", F.round(bt.probabilistic_sharpe(F.col("sr"), F.lit(0.1), F.col("n"), F.col("skew"), F.col("kurt")), 5).alias("psr"), F.round(bt.minimum_track_record(F.col("sr"), F.lit(0.0), F.col("skew"), F.col("kurt"), 1.6448536), 3).alias("min_length"))
 
 
 @query("train_times", _SIG + ", k AS (SELECT symbol, t0, t1 FROM w WHERE t0 // 86400 % 5 = 0) ||| SELECT symbol, t0, t1 FROM w WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.symbol = w.symbol AND w.t0 <= k.t1 AND w.t1 >= k.t0)", "tb")

@@ -88,12 +88,15 @@ def plug_in(spark, sf):
     return _messages(spark, sf).where("length(message) > 2").select("symbol", "day", (F.round(br.plug_in(F.col("message"), 2), 6) + 0).alias("entropy"))
 
 
-@query("lempel_ziv")
+@query("lempel_ziv", _MSG + """, r AS (SELECT symbol, day, message, 0::BIGINT AS i, ''::VARCHAR AS cur, []::VARCHAR[] AS seen FROM m
+UNION ALL SELECT symbol, day, message, i, CASE WHEN list_contains(seen, now) THEN now ELSE '' END, CASE WHEN list_contains(seen, now) THEN seen ELSE list_append(seen, now) END FROM (SELECT symbol, day, message, i + 1 AS i, cur || substr(message, i + 1, 1) AS now, seen FROM r WHERE i < length(message))) |||
+SELECT symbol, day, round(len(seen)::DOUBLE / length(message), 6) AS entropy FROM r WHERE i = length(message)""", "t", recursive=True)
 def lempel_ziv(spark, sf):
     return _messages(spark, sf).select("symbol", "day", F.round(br.lempel_ziv(F.col("message")), 6).alias("entropy"))
 
 
-@query("kontoyiannis")
+@query("kontoyiannis", _MSG + """, p AS (SELECT symbol, day, message, unnest(range(1, length(message) // 2 + 1)) AS i FROM m), l AS (SELECT symbol, day, i, (SELECT count(*) FROM range(1, i + 1) r(l) WHERE i + l <= length(message) AND contains(substr(message, 1, i), substr(message, i + 1, l))) AS longest FROM p),
+e AS (SELECT symbol, day, avg(log2(i + 1) / (longest + 1)) AS e FROM l GROUP BY ALL) ||| SELECT m.symbol, m.day, round(coalesce(e, 0), 6) AS entropy FROM m LEFT JOIN e USING (symbol, day)""", "t")
 def kontoyiannis(spark, sf):
     return _messages(spark, sf).select("symbol", "day", F.round(br.kontoyiannis(F.col("message")), 6).alias("entropy"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import micro
 from ..sources.testdata import bars, ticks
-from .registry import query
+from .registry import normal_sql, query
 
 W = 20
 
@@ -80,6 +80,7 @@ def vpin(spark, sf):
     return micro.vpin(rows, ["symbol"], "t").select("symbol", "t", *_r("vpin"))
 
 
-@query("bvc_buy_volume")
+@query("bvc_buy_volume", f"""x AS (SELECT *, close - lag(close) OVER (PARTITION BY symbol ORDER BY t) AS dp FROM b), y AS (SELECT symbol, t, volume, dp / nullif(CASE WHEN count(dp) OVER w >= 20 THEN stddev_samp(dp) OVER w END, 0) AS z FROM x WINDOW w AS ({_FRAME})) |||
+SELECT symbol, t, round(volume * {normal_sql("z")}, 2) AS buy_volume FROM y""", "tb")
 def bvc_buy_volume(spark, sf):
-    return micro.bvc_buy_volume(bars(spark, sf), ["symbol"], "t").select("symbol", "t", *_r("buy_volume", n=4))
+    return micro.bvc_buy_volume(bars(spark, sf), ["symbol"], "t").select("symbol", "t", *_r("buy_volume", n=2))

@@ -19,6 +19,12 @@ ROLES = {
 }
 
 
+def normal_sql(x: str) -> str:
+    """DuckDB: the standard normal distribution function, by its series of positive terms."""
+    terms = f"list_sum(list_transform(range(151), lambda k: exp((2 * k + 1) * ln(abs({x})) - (lgamma(2 * k + 2) - lgamma(k + 1) - k * ln(2)))))"
+    return f"(CASE WHEN {x} = 0 THEN 0.5 WHEN abs({x}) > 9 THEN CASE WHEN {x} > 0 THEN 1 ELSE 0 END ELSE 0.5 + sign({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * {terms} END)"
+
+
 def query(name: str, sql: str | None = None, roles: str = "", recursive: bool = False) -> Callable[[Query], Query]:
     """Registers a query; ``roles`` names the expressions that precede ``sql`` (which may start with more of them)."""
 
