@@ -30,7 +30,6 @@ BLANK = "▁"
 #: Prefix states kept by a worker.
 STATES = 600_000
 _COUNTERS: dict[tuple[str, int], "PrefixCounter"] = {}
-_LETTER = re.compile(r"[^\W\d_]")
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -47,10 +46,10 @@ class PrefixCounter:
         self.spans = {(a, b) for piece in self.score for a, b in zip(piece, piece[1:])}
         if any(b == BLANK and a != BLANK for a, b in self.spans):
             raise ValueError("pieces of this vocabulary span blanks")
-        letters = {a for a, _ in self.spans if _LETTER.fullmatch(a)}
+        letters = {a for a, _ in self.spans if a.isalpha()}
         #: Marks that no piece joins to a letter before them.
         self.tails = "".join(c for c in ".,;:!?|" if not any((a, c) in self.spans for a in letters))
-        self.tail = re.compile(f"({_LETTER.pattern}+)([{re.escape(self.tails)}]+)") if self.tails else None
+        self.tail = re.compile(f"([^{re.escape(self.tails)}]+)([{re.escape(self.tails)}]+)") if self.tails else None
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.states: dict[str, tuple[str, int]] = {}
@@ -123,7 +122,7 @@ class PrefixCounter:
     def count_part(self, part: str) -> int:
         """Tokens of one part between places that no piece spans."""
         m = self.tail and self.tail.fullmatch(part.lstrip(BLANK))
-        if m:
+        if m and m[1].isalpha():  # the same letters that the marks were tested with
             return self.state(part[: len(part) - len(m[2])])[1] + self.state(m[2])[1]
         if len(part) <= 64:
             return self.state(part)[1]
