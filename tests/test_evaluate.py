@@ -169,3 +169,15 @@ def test_sequential_bootstrap_chances():
     assert first == pytest.approx([1 / 3] * 3, abs=0.04)
     after = np.bincount([s[1] for s in seconds if s[0] == 0], minlength=3)
     assert after / after.sum() == pytest.approx([0.25, 0.25, 0.5], abs=0.05)
+
+
+def test_robust_covariance_in_passes(spark):
+    rng = np.random.default_rng(8)
+    x = rng.multivariate_normal([0, 0], [[1, 0.5], [0.5, 1]], 600)
+    x[:60] += 25
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    got = ev.robust_covariance(df, ["a", "b"])
+    assert np.allclose(got, [[1, 0.5], [0.5, 1]], atol=0.3) and np.abs(np.cov(x.T)[0, 0]) > 20
+    from tickloom.operators.allocation import minimum_covariance_determinant
+
+    assert np.allclose(got, minimum_covariance_determinant(x, rng), atol=0.1)

@@ -13,18 +13,18 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     carried along: one shuffle on the keys and no product of rows. ``strict`` leaves out
     equal times.
     """
-    right = right.select(*[F.col(k) for k in keys], F.col(right_time).alias("_t"), F.struct(*columns).alias("_r"))
+    right = right.select(*[F.col(k) for k in keys], F.col(right_time).alias("_asof_at"), F.struct(*columns).alias("_asof_row"))
     # Among equal times a right row comes first where it may match, last where it may not (mirrored going forward).
     before = (not strict) != forward
-    stream = left.withColumn("_t", F.col(left_time)).withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)), allowMissingColumns=True)
-    stream = stream.withColumn("_o", F.when(F.col("_left"), 1).otherwise(0 if before else 2))
-    over = Window.partitionBy(*keys).orderBy("_t", "_o")
+    stream = left.withColumn("_asof_at", F.col(left_time)).withColumn("_asof_left", F.lit(True)).unionByName(right.withColumn("_asof_left", F.lit(False)), allowMissingColumns=True)
+    stream = stream.withColumn("_asof_order", F.when(F.col("_asof_left"), 1).otherwise(0 if before else 2))
+    over = Window.partitionBy(*keys).orderBy("_asof_at", "_asof_order")
     if forward:
-        found = F.first("_r", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing))
+        found = F.first("_asof_row", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing))
     else:
-        found = F.last("_r", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
-    out = stream.withColumn("_f", found).where("_left")
-    return out.select(*left.columns, *[F.col(f"_f.{c}").alias(c) for c in columns])
+        found = F.last("_asof_row", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    out = stream.withColumn("_asof_found", found).where("_asof_left")
+    return out.select(*left.columns, *[F.col(f"_asof_found.{c}").alias(c) for c in columns])
 
 
 def interval(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, cell: int, closed: bool = True) -> DataFrame:

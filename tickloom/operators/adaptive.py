@@ -18,22 +18,22 @@ from ..session import reachable
 Step = Callable[[float], float]
 
 
-def jma_step(first: float, window: int, power: float = 1.0, phase: float = 0.0) -> Step:
-    """Three coupled recurrences that track level, slope and adjustment."""
-    ratio = 0.5 if phase < -100 else 2.5 if phase > 100 else phase / 101.5
-    beta = 0.45 * (window - 1) / (0.45 * (window - 1) + 2)
-    alpha = beta**power
-    level, slope, lift, out = first, 0.0, 0.0, first
+class jma_step:  # noqa: N801  (called like the other steps)
+    """Three coupled recurrences that track level, slope and adjustment; a step takes a value and gives the smoothed one."""
 
-    def step(x: float) -> float:
-        nonlocal level, slope, lift, out
-        level = x + alpha * (level - x)
-        slope = (x - level) * (1 - beta) + beta * slope
-        lift = (level + ratio * slope - out) * (1 - alpha) ** 2 + alpha**2 * lift
-        out += lift
-        return out
+    def __init__(self, first: float, window: int, power: float = 1.0, phase: float = 0.0):
+        self.ratio = 0.5 if phase < -100 else 2.5 if phase > 100 else phase / 101.5
+        self.beta = 0.45 * (window - 1) / (0.45 * (window - 1) + 2)
+        self.alpha = self.beta**power
+        self.state = [first, 0.0, 0.0, first]
 
-    return step
+    def __call__(self, x: float) -> float:
+        level, slope, lift, out = self.state
+        level = x + self.alpha * (level - x)
+        slope = (x - level) * (1 - self.beta) + self.beta * slope
+        lift = (level + self.ratio * slope - out) * (1 - self.alpha) ** 2 + self.alpha**2 * lift
+        self.state = [level, slope, lift, out + lift]
+        return out + lift
 
 
 def rema_step(first: float, window: int = 14, lam: float = 0.5) -> Step:
@@ -144,6 +144,21 @@ class _Adaptive(Kernel):
     def _open(self) -> None:
         self.n, self.start, self.first, self.first_jma, self.price, self.side, self.signed = 0, None, None, None, None, 0, 0.0
 
+    def dump(self) -> dict:
+        """The state as plain numbers, for a stream's checkpoint."""
+        names = ("bar", "last_return", "n", "start", "first", "first_jma", "price", "side", "signed")
+        plain = lambda v: v.item() if isinstance(v, np.generic) else v
+        return {k: plain(getattr(self, k)) for k in names} | {"smooth": [float(v) for v in self.smooth.state] if self.smooth else None}
+
+    def load(self, state: dict) -> "_Adaptive":
+        for k, v in state.items():
+            if k != "smooth":
+                setattr(self, k, v)
+        if state["smooth"]:
+            self.smooth = jma_step(0.0, self.limits.get("jma_winlen", 10), self.limits.get("jma_power", 1))
+            self.smooth.state = state["smooth"]
+        return self
+
     def _trigger(self, us: int, price: float, value: float) -> str | None:
         limits, found = self.limits, None
         if size := limits.get("renko_size"):

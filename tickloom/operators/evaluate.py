@@ -152,6 +152,44 @@ def standard_moments(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np
     return np.array([row[f"m{i}"] for i in range(len(features))]), np.array([row[f"s{i}"] for i in range(len(features))]), corr, row["n"]
 
 
+def robust_covariance(df: DataFrame, columns: list[str], share: float | None = None, steps: int = 30) -> np.ndarray:
+    """Minimum covariance determinant over all rows: steps that keep the nearest ``share`` of rows (about half), then a reweighting.
+
+    Starts from medians and median deviations. Each step is one pass for the distances' quantile and one for the moments of the
+    rows within it; k-by-k sums reach the driver.
+    """
+    from .allocation import chi_square_quantile
+
+    k, n = len(columns), df.count()
+    share = share or (n + k + 1) / (2 * max(n, 1))
+    if n <= k + 1:
+        return np.full((k, k), np.nan)
+    middle = np.array(list(df.agg(*[F.percentile(c, 0.5) for c in columns]).first()), float)
+    spread = np.array(list(df.agg(*[F.percentile(F.abs(F.col(c) - F.lit(float(m))), 0.5) for c, m in zip(columns, middle, strict=True)]).first()), float) * 1.4826
+    cov = np.diag(np.maximum(spread, 1e-12) ** 2)
+
+    def distance() -> Column:
+        inverse = np.linalg.pinv(cov)
+        gap = [F.col(c) - F.lit(float(m)) for c, m in zip(columns, middle, strict=True)]
+        return sum((F.lit(float(inverse[i, j])) * gap[i] * gap[j] for i in range(k) for j in range(k)), F.lit(0.0))
+
+    def within(limit: float) -> tuple[np.ndarray, np.ndarray]:
+        rows = df.where(distance() <= limit)
+        sums = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        return np.array([sums[f"m{i}"] for i in range(k)], float), np.array([[sums[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+
+    last = math.inf
+    for _ in range(steps):
+        limit = df.agg(F.percentile(distance(), share)).first()[0]
+        middle, cov = within(limit)
+        size = np.linalg.slogdet(cov)[1]
+        if not size < last - 1e-9:
+            break
+        last = size
+    cov = cov * df.agg(F.percentile(distance(), 0.5)).first()[0] / chi_square_quantile(0.5, k)
+    return within(chi_square_quantile(0.975, k))[1]
+
+
 def leading_vectors(corr: np.ndarray, n: int, share: float = 0.95, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Largest eigenvalues of Z'Z that hold ``share`` of the variance (or ``count``), and their vectors (largest component positive)."""
     values, vectors = np.linalg.eigh(corr * (n - 1))

@@ -97,3 +97,22 @@ def gap_fill(bars: DataFrame, size: float, hour: int = 3600) -> DataFrame:
 def stacked_stats(bars: DataFrame) -> DataFrame:
     """Per symbol and day: count, median minutes, mean range, first opening, last closing."""
     return bars.groupBy("symbol", "day").agg(F.count(F.lit(1)).alias("n"), F.percentile("minutes", 0.5).alias("minutes_median"), F.avg(F.col("high") - F.col("low")).alias("range_mean"), F.min("open_at").alias("open_at"), F.max("close_at").alias("close_at"))
+
+
+def symbols_wide(df: DataFrame, time: str, symbols: list, metric: str = "close") -> DataFrame:
+    """One column a symbol of one metric over time: the table behind a chart of symbols."""
+    return df.where(F.col("symbol").isin(symbols)).groupBy(time).pivot("symbol", symbols).agg(F.first(metric))
+
+
+def map_parts(df: DataFrame, order: list[str], parts: int, kernel, schema: str, triangular: bool = False) -> DataFrame:
+    """``kernel(rows)`` over ``parts`` stretches of the ordered rows, of equal counts or (triangular) of equal work where row k costs k."""
+    from pyspark.sql import Window
+
+    from ..session import reachable
+    from .extras import linear_parts, triangular_parts
+
+    bounds = (triangular_parts if triangular else linear_parts)(df.count(), parts)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1  # narrow use: rows are numbered once
+    part = sum((F.when(F.col("_k") >= b, 1).otherwise(0) for b in bounds[1:-1]), F.lit(0))
+    reachable(df.sparkSession)
+    return df.withColumn("_k", place).withColumn("_part", part).groupBy("_part").applyInPandas(lambda pdf: kernel(pdf.sort_values("_k").drop(columns=["_k", "_part"])), schema)

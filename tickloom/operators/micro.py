@@ -106,3 +106,39 @@ def bvc_buy_volume(df: DataFrame, keys: list[str], time: str, window: int = 20)
     over = ordered(keys, [time])
     df = df.withColumn("_d", F.col("close") - F.lag("close").over(over))
     return df.withColumn("buy_volume", F.col("volume") * normal_cdf(F.try_divide("_d", rolling_std(F.col("_d"), over, window)))).drop("_d")
+
+
+def bar_microstructure(ticks: DataFrame, ends: DataFrame, keys: list[str], order: list[str], volume_letters: list[float] | None = None, return_letters: list[float] | None = None) -> DataFrame:
+    """One row a bar given by the number of its last tick (``ends(keys, tick_num)``): sizes, sides, VWAP, price impacts with t-values, entropies.
+
+    Changes, returns and sides run on across bars, 0 at the first tick; ticks after the last bar are left out. Messages hold one bar's ticks.
+    """
+    from ..functions.joins import asof
+    from .bars import numbered, with_side
+    from .breaks import encode_nearest, encode_sides, kontoyiannis, lempel_ziv, plug_in, shannon
+
+    over = ordered(keys, order)
+    rows = numbered(with_side(ticks, keys, order), keys, order)
+    rows = rows.withColumn("_d", F.coalesce(F.col("price") - F.lag("price").over(over), F.lit(0.0))).withColumn("_r", F.coalesce(log_ratio(F.col("price"), F.lag("price").over(over)), F.lit(0.0)))
+    rows = asof(rows, ends.select(*keys, F.col("tick_num").alias("_end")), keys, "tick_num", "_end", ["_end"], forward=True).where("_end IS NOT NULL")
+    dollars, v, s = F.col("price") * F.col("volume"), F.col("volume"), F.col("side").cast("double")
+    impacts = {"kyle": (s * v, F.col("_d")), "amihud": (dollars, F.abs("_r")), "hasbrouck": (s * F.sqrt(dollars), F.abs("_r"))}
+    sums = [F.count(F.lit(1)).alias("ticks"), F.avg("volume").alias("avg_tick_size"), F.sum("side").alias("tick_rule_sum"), F.try_divide(F.sum(dollars), F.sum("volume")).alias("vwap")]
+    sums += [F.sort_array(F.collect_list(F.struct("tick_num", "side", v.cast("double").alias("v"), F.col("_r").alias("r")))).alias("_a")]
+    for name, (x, y) in impacts.items():
+        sums += [F.sum(x * y).alias(f"_xy_{name}"), F.sum(x * x).alias(f"_xx_{name}"), F.sum(y * y).alias(f"_yy_{name}")]
+    out = rows.groupBy(*keys, F.col("_end").alias("tick_num")).agg(F.max(order[0]).alias("date_time"), *sums)
+    for name in impacts:
+        xy, xx, yy = (F.col(f"_{p}_{name}") for p in ("xy", "xx", "yy"))
+        slope = F.try_divide(xy, xx)
+        variance = F.try_divide(F.greatest(yy - slope * xy, F.lit(0.0)), F.when(F.col("ticks") > 1, (F.col("ticks") - 1).cast("double")))
+        out = out.withColumn(f"{name}_lambda", slope).withColumn(f"{name}_t", F.try_divide(slope, F.sqrt(F.try_divide(variance, xx))))
+    messages = {"tick_rule": encode_sides(F.transform("_a", lambda x: x["side"]))}
+    if volume_letters:
+        messages["volume"] = encode_nearest(F.transform("_a", lambda x: x["v"]), volume_letters)
+    if return_letters:
+        messages["pct"] = encode_nearest(F.transform("_a", lambda x: x["r"]), return_letters)
+    kinds = {"shannon": shannon, "plug_in": lambda m: plug_in(m, 1), "lempel_ziv": lempel_ziv, "konto": kontoyiannis}
+    out = out.withColumns({f"_{name}": m for name, m in messages.items()})
+    out = out.withColumns({f"{name}_entropy_{kind}": f(F.col(f"_{name}")) for name in messages for kind, f in kinds.items()})
+    return out.select(*[c for c in out.columns if not c.startswith("_")])

@@ -67,10 +67,33 @@ def scan_wide_csv(spark: SparkSession, paths: dict[str, str], time: str = "date"
 
 
 def parse_capture(lines: DataFrame) -> DataFrame:
-    """Trades of captured lines ``arrival_ns||[events]``: renamed, with the delay from trade to arrival in ms."""
+    """Trades of captured lines ``arrival_ns||[events]``: renamed, with the delay from trade to arrival in ms; other lines make no row."""
     parts = F.split("value", r"\|\|", 2)
-    events = lines.select(parts[0].cast("long").alias("arrival_ns"), F.explode(F.from_json(parts[1], EVENT)).alias("e")).where("e.ev = 'T'")
+    events = lines.select(F.get(parts, F.lit(0)).try_cast("long").alias("arrival_ns"), F.explode(F.from_json(F.get(parts, F.lit(1)), EVENT)).alias("e")).where("e.ev = 'T'")
     return events.select(
         F.col("e.sym").alias("symbol"), F.col("e.p").alias("price"), F.coalesce("e.s", F.lit(0).cast("long")).alias("size"), F.col("e.x").alias("exchange_id"), F.col("e.i").alias("trade_id"), F.col("e.c").alias("conditions"),
         F.col("e.t").alias("trade_ms"), "arrival_ns", (F.col("arrival_ns") / 1_000_000 - F.col("e.t")).alias("delay_ms"),
     )
+
+
+def read_matching(spark: SparkSession, pattern: str, kind: str = "csv", schema: str | None = None) -> DataFrame:
+    """All files that a glob matches, as one table; columns by name, those that some files lack null."""
+    reader = spark.read.option("mergeSchema", "true")
+    if kind == "csv":
+        reader = reader.option("header", "true").option("inferSchema", str(schema is None).lower())
+    return (reader.schema(schema) if schema else reader).format(kind).load(pattern)
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Adds rows to a folder of CSV files, each with its header; readers see one table."""
+    df.write.mode("append").option("header", "true").csv(path)
+
+
+def latency(events: DataFrame) -> DataFrame:
+    """``delay_ms``: arrival less trade time, for rows with ``arrival_ns`` and ``trade_ms``."""
+    return events.withColumn("delay_ms", F.col("arrival_ns") / 1_000_000 - F.col("trade_ms"))
+
+
+def stream_ingest(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+    """Trades of captured lines, as a stream over a folder of capture files; a line that does not parse makes no row."""
+    return parse_capture(spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path))

@@ -55,3 +55,21 @@ def symbol_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("s_suppkey").alias("symbol"), F.col("s_name").alias("name"), F.col("n_name").alias("industry"), F.col("r_name").alias("sector"))
     )
+
+
+def stock_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample of daily closes (the last of a day), one column a symbol."""
+    rows = bars(spark, sf_dir).groupBy(F.floor(F.col("t") / 86400).alias("day"), "symbol").agg(F.max_by("close", "t").alias("close"))
+    return rows.groupBy("day").pivot("symbol").agg(F.first("close"))
+
+
+def tick_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample of ticks in the three columns of the batch bars."""
+    return ticks(spark, sf_dir).select(F.timestamp_micros("us").alias("date_time"), "price", "volume")
+
+
+def dollar_bar_sample(spark: SparkSession, sf_dir: str, threshold: float = 50_000) -> DataFrame:
+    """Sample of dollar bars."""
+    from ..operators.bars import dollar_bars
+
+    return dollar_bars(ticks(spark, sf_dir), ["symbol"], ["us", "seq"], threshold)

@@ -2,18 +2,26 @@
 
 Streams carry ``symbol, ts (timestamp), seq, price, volume``. Windows functions do not
 exist on streams, so running state lives in keyed state; rows later than the watermark
-are dropped by Spark and counted in the query's progress.
+are dropped by Spark and counted in the query's progress. Where a kernel depends on order, each
+micro-batch is put in order first and a tick older than the last of an earlier batch goes to the
+side output (``late``) instead of changing what was already given out.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.adaptive import BAR_COLUMNS, _Adaptive, bar_row, jma_step
+from ..operators.ingest import RunningMedian
+from ..session import reachable
+
 OUT = "symbol string, date_time timestamp, open double, high double, low double, close double, volume double, cum_buy_volume double, cum_ticks long, cum_dollar_value double"
 STATE = "last double, side int, acc double, open double, high double, low double, close double, volume double, buy double, ticks long, dollars double, at timestamp"
 
@@ -64,3 +72,89 @@ def stream_labels(bars: DataFrame, ticks: DataFrame, start: str = "3 seconds", h
     t = ticks.withWatermark("ts", late).alias("t")
     inside = (F.col("b.symbol") == F.col("t.symbol")) & F.expr(f"t.ts >= b.close_at + interval {start}") & F.expr(f"t.ts < b.close_at + interval {horizon}")
     return b.join(t, inside).select("b.symbol", "b.close_at", F.col("t.ts").alias("at"), "t.price")
+
+
+def stream_session(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of a symbol: stretches without a pause of ``gap``; the open one waits for the watermark."""
+    return (
+        ticks.withWatermark("ts", late)
+        .groupBy("symbol", F.session_window("ts", gap).alias("w"))
+        .agg(F.min_by("price", "ts").alias("open"), F.max_by("price", "ts").alias("close"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("ticks"))
+        .select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "close", "volume", "ticks")
+    )
+
+
+def _in_order(batches: Iterator[pd.DataFrame], last: float | None) -> tuple[pd.DataFrame, pd.DataFrame, int | None]:
+    """Rows of a micro-batch in order, those older than ``last`` (microseconds), and the newest time."""
+    rows = pd.concat(list(batches)).sort_values(["ts", "seq"]).reset_index(drop=True)
+    us = rows["ts"].astype("datetime64[us]").astype("int64")
+    rows = rows.assign(us=us)
+    old = us < last if last is not None else pd.Series(False, index=rows.index)
+    fresh = rows[~old]
+    return fresh, rows[old], int(fresh["us"].iloc[-1]) if len(fresh) else last
+
+
+def stream_mad_jma(ticks: DataFrame, window: int = 11, deviation_window: int = 333, k: float = 22.0, smooth: int = 7, power: float = 1.0) -> DataFrame:
+    """symbol, seq, ts, price, mad_status and jma (of clean ticks) tick by tick; late ticks have the status ``late``."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"last": None, "n": 0, "values": [], "gaps": [], "jma": None}
+        rows, old, kept["last"] = _in_order(batches, kept["last"])
+        middle, spread = RunningMedian(window), RunningMedian(deviation_window)
+        for m, values in ((middle, kept["values"]), (spread, kept["gaps"])):
+            for v in values:
+                m.push(v)
+        step, statuses, smoothed = None, [], []
+        for price in rows["price"].to_numpy(float).tolist():
+            if step is None:
+                step = jma_step(price, smooth, power)
+                step.state = kept["jma"] or step.state
+            middle.push(price)
+            spread.push(price - middle.value())
+            kept["n"] += 1
+            limit = k * min(max(spread.value(), 0.005), 0.05)
+            status = "mad_warmup" if kept["n"] < window else "mad_outlier" if abs(price - middle.value()) > limit else "mad_clean"
+            statuses.append(status)
+            smoothed.append(step(price) if status == "mad_clean" else np.nan)
+        kept |= {"values": list(middle.queue), "gaps": list(spread.queue), "jma": step.state if step else kept["jma"]}
+        state.update((json.dumps(kept),))
+        out = pd.concat([rows.assign(mad_status=statuses, jma=smoothed), old.assign(mad_status="late", jma=np.nan)])
+        yield out.assign(symbol=key[0])[["symbol", "seq", "ts", "price", "mad_status", "jma"]]
+
+    reachable(ticks.sparkSession)
+    return ticks.groupBy("symbol").applyInPandasWithState(fold, "symbol string, seq long, ts timestamp, price double, mad_status string, jma double", "kept string", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_bars(ticks: DataFrame, limits: dict) -> DataFrame:
+    """Adaptive bars of ticks with ``status``: one row at each trigger, as the batch operator gives; a late tick makes a row of its own with ``late`` set."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = json.loads(state.get[0]) if state.exists else {"last": None, "kernel": None, "held": []}
+        rows, old, kept["last"] = _in_order(batches, kept["last"])
+        kernel = _Adaptive(limits)
+        if kept["kernel"]:
+            kernel.load(kept["kernel"])
+        out = []
+        if len(rows):
+            cut = kernel.feed(rows)
+            held = kept["held"]
+            for us, price, jma, volume, bar, trigger in zip(cut["us"].tolist(), cut["price"].tolist(), cut["jma"].tolist(), cut["volume"].tolist(), cut["bar"], cut["bar_trigger"]):
+                if bar is None or bar is pd.NA:
+                    continue
+                held.append([us, price, jma, volume])
+                if trigger:
+                    out.append(bar_row(int(bar), *(np.array(c) for c in zip(*held)), trigger) | {"late": False})
+                    held = []
+            kept |= {"held": held, "kernel": kernel.dump()}
+        state.update((json.dumps(kept),))
+        found = pd.DataFrame(out, columns=[*BAR_COLUMNS, "late"])
+        if len(old):
+            side = pd.DataFrame({"open_at": old["us"], "close_at": old["us"], "price_open": old["price"], "price_close": old["price"], "volume": old["volume"], "late": True}).reindex(columns=[*BAR_COLUMNS, "late"])
+            found = pd.concat([found, side]) if len(found) else side
+        if len(found):
+            found.insert(0, "symbol", key[0])
+            yield found.astype({c: "Int64" for c, t in BAR_COLUMNS.items() if t == "long"})
+
+    reachable(ticks.sparkSession)
+    schema = "symbol string, " + ", ".join(f"{c} {t}" for c, t in BAR_COLUMNS.items()) + ", late boolean"
+    return ticks.groupBy("symbol").applyInPandasWithState(fold, schema, "kept string", "append", GroupStateTimeout.NoTimeout)
