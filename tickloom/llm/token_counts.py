@@ -28,7 +28,7 @@ from .common import bounded_batches, whole_text
 
 BLANK = "▁"
 #: Prefix states kept by a worker.
-STATES = 600_000
+STATES = 1_800_000
 _COUNTERS: dict[tuple[str, int], "PrefixCounter"] = {}
 _RUNS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -42,7 +42,6 @@ class PrefixCounter:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         usable = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in usable}
-        self.longest = max(map(len, self.score))
         self.spans = {(a, b) for piece in self.score for a, b in zip(piece, piece[1:])}
         if any(b == BLANK and a != BLANK for a, b in self.spans):
             raise ValueError("pieces of this vocabulary span blanks")
@@ -50,6 +49,11 @@ class PrefixCounter:
         #: Marks that no piece joins to a letter before them.
         self.tails = "".join(c for c in ".,;:!?|" if not any((a, c) in self.spans for a in letters))
         self.tail = re.compile(f"([^{re.escape(self.tails)}]+)([{re.escape(self.tails)}]+)") if self.tails else None
+        ends: dict[str, set[int]] = {}
+        for piece in self.score:
+            ends.setdefault(piece[-3:], set()).add(len(piece))
+        #: Lengths of the pieces that end in two or three characters, longest first.
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items() if len(k) > 1}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.alone: dict[str, bool] = {}
         self.states: dict[str, tuple[str, int]] = {}
@@ -99,25 +103,33 @@ class PrefixCounter:
         i = n - 1
         while i and part[:i] not in states:
             i -= 1
-        score, longest = self.score, self.longest
+        score, pairs = self.score, self.pairs
         while i < n:
             i += 1
-            for j in range(max(0, i - longest), i):
+            for length in self.lengths(part, i):
+                j = i - length
+                if j < 0:
+                    continue
                 piece = part[j:i]
-                if piece not in score and i - j > 1:
+                if length > 1 and piece not in score:
                     continue
                 if j == 0:
                     if self._stands(piece):
-                        states[part[:i]] = (piece, self._cost(piece))
+                        found = states[part[:i]] = (piece, self._cost(piece))
                         break
                 else:
                     last, count = states[part[:j]]
-                    if self._fits(last, piece):
-                        states[part[:i]] = (piece, count + self._cost(piece))
+                    ok = pairs.get((last, piece))
+                    if ok or (ok is None and self._fits(last, piece)):
+                        found = states[part[:i]] = (piece, count + (1 if piece in score else len(piece.encode())))
                         break
             else:
                 raise AssertionError("no piece ends this prefix")
-        return states[part]
+        return found
+
+    def lengths(self, part: str, i: int) -> tuple[int, ...]:
+        """Lengths that a piece which ends prefix ``i`` may have, longest first."""
+        return self.ends.get(part[i - 3 : i] if i > 2 else "", ()) + ((2, 1) if i > 1 and part[i - 2 : i] in self.ends else (1,))
 
     def count_part(self, part: str) -> int:
         """Tokens of one part between places that no piece spans."""
@@ -143,9 +155,9 @@ class PrefixCounter:
         last: list[str] = [""]
         count = [0]
         for i in range(1, len(part) + 1):
-            for j in range(max(0, i - self.longest), i):
-                piece = part[j:i]
-                if (piece in self.score or i - j == 1) and (self._stands(piece) if j == 0 else self._fits(last[j], piece)):
+            for length in self.lengths(part, i):
+                j, piece = i - length, part[max(0, i - length) : i]
+                if j >= 0 and (length == 1 or piece in self.score) and (self._stands(piece) if j == 0 else self._fits(last[j], piece)):
                     last.append(piece)
                     count.append(count[j] + self._cost(piece))
                     break
