@@ -104,23 +104,34 @@ def best_constant(x: np.ndarray, steps: int = 5000, tol: float = 1e-7) -> np.nda
     return w
 
 
+class ConfidenceWeighted:
+    """Confidence-weighted mean reversion (variance form): a mean and a k-by-k spread of the weights, moved when a row passes ``eps``."""
+
+    def __init__(self, k: int, eps: float = 0.5, confidence: float = 1.96):
+        self.w, self.cov, self.eps, self.confidence = np.full(k, 1 / k), np.eye(k) / k**2, eps, confidence
+
+    def step(self, row: np.ndarray) -> None:
+        k, one = len(row), np.ones(len(row))
+        m, v = float(self.w @ row), float(row @ self.cov @ row)
+        pull = float(one @ self.cov @ row)
+        centre = pull / float(one @ self.cov @ one)
+        a = 2 * self.confidence * v * (v - centre * pull)
+        b = 2 * self.confidence * v * (self.eps - m) + v - centre * pull
+        c = self.eps - m - self.confidence * v
+        roots = [r.real for r in np.roots([a, b, c]) if abs(r.imag) < 1e-9] if abs(a) > 1e-15 else [-c / b if b else 0.0]
+        lam = max(0.0, *roots) if roots else 0.0
+        self.w = simplex(self.w - lam * self.cov @ (row - centre))
+        cov = np.linalg.inv(np.linalg.inv(self.cov + 1e-12 * np.eye(k)) + 2 * lam * self.confidence * np.diag(row**2))
+        self.cov = cov / (k * np.trace(cov))
+
+
 def confidence_weighted(x: np.ndarray, eps: float = 0.5, confidence: float = 1.96) -> np.ndarray:
-    """Wealth of confidence-weighted mean reversion (variance form), row by row."""
-    k = x.shape[1]
-    mean, cov, wealth, out = np.full(k, 1 / k), np.eye(k) / k**2, 1.0, []
+    """Its wealth, row by row."""
+    own, wealth, out = ConfidenceWeighted(x.shape[1], eps, confidence), 1.0, []
     for row in x:
-        wealth *= float(mean @ row)
+        wealth *= float(own.w @ row)
         out.append(wealth)
-        m, v = float(mean @ row), float(row @ cov @ row)
-        centre = float((np.ones(k) @ cov @ row) / (np.ones(k) @ cov @ np.ones(k)))
-        a = 2 * confidence * v * (v - centre * float(np.ones(k) @ cov @ row))
-        b = 2 * confidence * v * (eps - m) + v - centre * float(np.ones(k) @ cov @ row)
-        c = eps - m - confidence * v
-        roots = [r.real for r in np.roots([a, b, c]) if abs(r.imag) < 1e-9] if abs(a) > 1e-15 else [-c / b if b else 0.0]
-        lam = max(0.0, *roots) if roots else 0.0
-        mean = simplex(mean - lam * cov @ (row - centre))
-        cov = np.linalg.inv(np.linalg.inv(cov + 1e-12 * np.eye(k)) + 2 * lam * confidence * np.diag(row**2))
-        cov = cov / (k * np.trace(cov))
+        own.step(row)
     return np.array(out)
 
 

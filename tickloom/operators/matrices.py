@@ -1,15 +1,20 @@
 """Dependence, covariance and networks over long matrices, and k-by-k kernels in numpy.
 
-Pair statistics are sums over a self join by time: one row per time and pair of columns.
-Kernels take the k-by-k result, whose size is the square of the number of columns.
+Pair statistics are sums over a self join by time: one row per time and pair of columns, as
+the result has a number for each pair. Kernels take the k-by-k result: its square must fit the
+driver, so columns are instruments or features (thousands), never rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fold import Kernel, ordered_fold
 from ..functions.windows import ordered
 
 
@@ -262,15 +267,15 @@ def relatives(df: DataFrame, keys: list[str], time: str, price: str) -> DataFram
 
 
 class OnlinePortfolio:
-    """Sequential weight updates over rows of relatives: ``eg``, ``olmar``, ``pamr``, ``rmr``, ``ftl`` by name."""
+    """Sequential weight updates over rows of relatives: ``eg``, ``olmar``, ``pamr``, ``rmr``, ``ftl`` by name; keeps one window of rows."""
 
     def __init__(self, kind: str, n: int, **params: float):
         self.kind, self.w, self.params = kind, np.full(n, 1 / n), params
-        self.history: list[np.ndarray] = []
+        self.recent: deque[np.ndarray] = deque(maxlen=int(params.get("window", 5)))
+        self.total = np.zeros(n)
 
     def step(self, x: np.ndarray) -> np.ndarray:
         """Weights for the next row, after seeing the relatives ``x``."""
-        self.history.append(x)
         w, p = self.w, self.params
         if self.kind == "eg":
             w = w * np.exp(p.get("eta", 0.05) * x / (w @ x))
@@ -279,8 +284,8 @@ class OnlinePortfolio:
             loss, centred = max(0.0, float(w @ x) - p.get("eps", 0.5)), x - x.mean()
             self.w = simplex(w - loss / max(float(centred @ centred), 1e-12) * centred)
         elif self.kind in ("olmar", "rmr"):
-            n = int(p.get("window", 5))
-            prices = np.cumprod(np.array(self.history[-n:]), axis=0)
+            self.recent.append(x)
+            prices = np.cumprod(np.array(self.recent), axis=0)
             if self.kind == "olmar":
                 guess = prices.mean(0) / prices[-1]
             else:
@@ -293,11 +298,32 @@ class OnlinePortfolio:
             lack = max(0.0, p.get("eps", 10.0) - float(w @ guess))
             self.w = simplex(w + lack / max(float(centred @ centred), 1e-12) * centred)
         elif self.kind == "ftl":
-            total = np.prod(np.array(self.history), axis=0)
-            self.w = np.eye(len(w))[int(np.argmax(total))]
+            with np.errstate(divide="ignore"):
+                self.total = self.total + np.log(np.maximum(x, 0))
+            self.w = np.eye(len(w))[int(np.argmax(self.total))]
         return self.w
 
 
+class Wealth(Kernel):
+    """Running wealth of a sequential portfolio over wide rows of relatives, a batch at a time; missing names stand still."""
+
+    def __init__(self, own, time: str, names: list[str]):
+        self.own, self.time, self.names, self.wealth = own, time, names, 1.0
+
+    def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t, x in zip(rows[self.time], rows[self.names].fillna(1.0).to_numpy(float)):
+            self.wealth *= float(self.own.w @ x)
+            out.append((t, self.wealth))
+            self.own.step(x)
+        return pd.DataFrame(out, columns=[self.time, "wealth"])
+
+
+def wealth_path(rows: DataFrame, time: str, names: list[str], make) -> DataFrame:
+    """(time, wealth): one order over all rows, so one task; it streams one narrow row a time and keeps one state."""
+    return ordered_fold(rows.withColumn("_all", F.lit(1)), ["_all"], [time], lambda key: Wealth(make(), time, names), f"`{time}` {dict(rows.dtypes)[time]}, wealth double")
+
+
 def ou_fit(df: DataFrame, keys: list[str], time: str, value: str, dt: float) -> DataFrame:
     """Maximum-likelihood mean reversion (theta, mu, sigma_sq) from sums of a series and its lag."""
     df = df.withColumn("_x", F.lag(value).over(ordered(keys, [time]))).where("_x IS NOT NULL").withColumn("_y", F.col(value))

@@ -148,5 +148,13 @@ def _wealth(name: str, kernel):
 
 
 _wealth("olps_bcrp", lambda x: np.cumprod(x @ ex.best_constant(x)))
-_wealth("olps_cwmr", ex.confidence_weighted)
+
+
+@query("olps_cwmr")
+def olps_cwmr(spark, sf):
+    rows = mx.relatives(src.bars(spark, sf), ["symbol"], "t", "close").groupBy("t").pivot("symbol").agg(F.first("relative"))
+    names = [c for c in rows.columns if c != "t"]
+    return mx.wealth_path(rows, "t", names, lambda: ex.ConfidenceWeighted(len(names)))
+
+
 _wealth("olps_corn", ex.pattern_matching)

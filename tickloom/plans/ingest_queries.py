@@ -8,6 +8,9 @@ from ..operators import ingest
 from ..sources import testdata as src
 from .registry import query
 
+#: Irregular condition codes as SQL.
+_CODES = ", ".join(map(str, ingest.IRREGULAR))
+
 
 def _r(c: str, n: int = 6):
     return F.round(c, n).alias(c)
@@ -28,12 +31,12 @@ def ticks_normalize(spark, sf):
     return ingest.normalize_ticks(raw).select("symbol", "price", "size", "trade_id", "sip_ns")
 
 
-@query("condition_flag", "|||SELECT seq, volume IN (2,5,7,10,13,15,16,20,21,22,29,33,38,52,53) OR volume + 1 IN (2,5,7,10,13,15,16,20,21,22,29,33,38,52,53) AS irregular FROM t", "t")
+@query("condition_flag", "|||SELECT seq, volume IN (" + _CODES + ") OR volume + 1 IN (" + _CODES + ") AS irregular FROM t", "t")
 def condition_flag(spark, sf):
     return src.ticks(spark, sf).select("seq", ingest.irregular(F.array(F.col("volume").cast("int"), (F.col("volume") + 1).cast("int"))).alias("irregular"))
 
 
-@query("condition_filter_alt", "|||SELECT seq FROM t WHERE volume NOT IN (2,5,7,10,13,15,16,20,21,22,29,33,38,52,53) AND volume <> 12", "t")
+@query("condition_filter_alt", "|||SELECT seq FROM t WHERE volume NOT IN (" + _CODES + ") AND volume <> 12", "t")
 def condition_filter_alt(spark, sf):
     codes = F.array(F.col("volume").cast("int"))
     return src.ticks(spark, sf).where(~ingest.irregular(codes) & ~ingest.irregular(codes, [ingest.AFTER_HOURS])).select("seq")
@@ -49,7 +52,7 @@ def tick_df_fix(spark, sf):
     return ingest.regular_hours(src.ticks(spark, sf).withColumn("at", F.expr("timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, us / 1000000.0)")), "at").select("seq")
 
 
-@query("clean_trades", "|||SELECT DISTINCT symbol, us, price, volume FROM t WHERE volume > 0 AND volume NOT IN (2,5,7,10,13,15,16,20,21,22,29,33,38,52,53) AND volume * 20000 < 1000000", "t")
+@query("clean_trades", "|||SELECT DISTINCT symbol, us, price, volume FROM t WHERE volume > 0 AND volume NOT IN (" + _CODES + ") AND volume * 20000 < 1000000", "t")
 def clean_trades(spark, sf):
     rows = src.ticks(spark, sf).withColumn("irregular", ingest.irregular(F.array(F.col("volume").cast("int")))).withColumn("delta", F.col("volume") * 20000)
     return ingest.clean_trades(rows, "price", "volume", "delta", ["symbol"], ["us", "price", "volume"]).select("symbol", "us", "price", "volume")
@@ -121,7 +124,7 @@ def mad_filter_stream(spark, sf):
     return ingest.mad_stream_status(src.ticks(spark, sf), ["symbol"], ["us", "seq"], k=400.0).select("seq", "mad_status")
 
 
-_TICK = _STATUS + """, f AS (SELECT seq, us // 86400000000 AS date, CASE WHEN volume < 1 THEN 'zero_volume' WHEN volume IN (2,5,7,10,13,15,16,20,21,22,29,33,38,52,53) THEN 'irregular_condition' WHEN volume % 50 / 20.0 > 2 THEN 'ts_delta'
+_TICK = _STATUS + """, f AS (SELECT seq, us // 86400000000 AS date, CASE WHEN volume < 1 THEN 'zero_volume' WHEN volume IN (""" + _CODES + """) THEN 'irregular_condition' WHEN volume % 50 / 20.0 > 2 THEN 'ts_delta'
  WHEN mad_status <> 'mad_clean' THEN 'mad_outlier' WHEN us // 3600000000 % 24 < 9 THEN 'clean_pre_market' WHEN us // 3600000000 % 24 >= 16 THEN 'clean_after_hours' ELSE 'clean_open_market' END AS status FROM z)"""
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import breaks as br
 from ..operators import matrices as mx
+from ..operators.allocation import CriticalLine
 from ..sources import testdata as src
 from . import label_queries as lq
 from .registry import query
@@ -242,8 +243,15 @@ def _weights(name: str, kernel):
 
 
 _weights("hrp", mx.hrp_weights)
-_weights("cov_shrink", lambda c: np.diag(mx.shrink(c)))
-_weights("min_volatility", mx.minimum_variance)
+
+
+@query("cov_shrink", _P + ", c AS (SELECT i, covar_pop(x, y) AS v FROM p WHERE i = j GROUP BY ALL) ||| SELECT i AS symbol, round(0.9::DOUBLE * v + 0.1::DOUBLE * avg(v) OVER (), 4) AS weight FROM c", "tb")
+def cov_shrink(spark, sf):
+    names, cov = _cov(spark, sf)
+    return spark.createDataFrame([(n, float(w)) for n, w in zip(names, np.diag(mx.shrink(cov)))], "symbol string, weight double").select("symbol", _r("weight", 4))
+
+
+_weights("min_volatility", lambda c: CriticalLine(np.arange(len(c)) + 0.0, c).least_variance())
 _weights("black_litterman", lambda c: mx.black_litterman(c, np.full(len(c), 1 / len(c)), np.array([0.01]), np.eye(len(c))[:1] - np.eye(len(c))[1:2])[1])
 
 
@@ -269,18 +277,7 @@ def _olps(kind: str):
         rows = mx.relatives(src.bars(spark, sf), ["symbol"], "t", "close").groupBy("t").pivot("symbol").agg(F.first("relative"))
         names = [c for c in rows.columns if c != "t"]
 
-        def fold(pdf):
-            pdf = pdf.sort_values("t").fillna(1.0)
-            own, wealth, out = mx.OnlinePortfolio(kind, len(names)), 1.0, []
-            for t, x in zip(pdf["t"], pdf[names].to_numpy(float)):
-                wealth *= float(own.w @ x)
-                out.append((t, wealth))
-                own.step(x)
-            import pandas as pd
-
-            return pd.DataFrame(out, columns=["t", "wealth"])
-
-        return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "t long, wealth double")
+        return mx.wealth_path(rows, "t", names, lambda: mx.OnlinePortfolio(kind, len(names)))
 
 
 for _kind in ("eg", "pamr", "olmar", "rmr", "ftl"):

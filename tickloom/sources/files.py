@@ -97,3 +97,62 @@ def latency(events: DataFrame) -> DataFrame:
 def stream_ingest(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
     """Trades of captured lines, as a stream over a folder of capture files; a line that does not parse makes no row."""
     return parse_capture(spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path))
+
+
+def write_feather(df: DataFrame, folder: str) -> DataFrame:
+    """One Arrow file a partition (written under a new name, so a repeated task leaves the other whole); returns (path, rows) of those reported.
+
+    ``folder`` is any place that all executors reach.
+    """
+    from ..session import reachable
+
+    columns = df.columns
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
+        path, writer, rows = f"{base}/part-{uuid.uuid4().hex}.feather", None, 0
+        for batch in batches:
+            batch = batch.rename_columns(columns)
+            if writer is None:
+                sink = system.open_output_stream(path)
+                writer = pa.ipc.new_file(sink, batch.schema)
+            writer.write_batch(batch)
+            rows += batch.num_rows
+        if writer is not None:
+            writer.close()
+            sink.close()
+            yield pa.RecordBatch.from_pydict({"path": [path], "rows": [rows]})
+
+    reachable(df.sparkSession)
+    return df.mapInArrow(write, "path string, rows long")
+
+
+def scan_feather(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """Rows of Arrow files, each file one task's work; columns by name."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    want = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def read(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                for part in pa.ipc.open_file(content.as_buffer()).read_all().select(want.names).cast(want).to_batches():
+                    yield part
+
+    return spark.read.format("binaryFile").load(paths).select("content").mapInArrow(read, schema)
+
+
+def write_ticks(df: DataFrame, folder: str, formats: tuple[str, ...] = ("parquet", "feather"), layout: str = "hive") -> None:
+    """The same ticks in several formats: flat, or by (symbol, date) folders (``hive``); Arrow files are always flat."""
+    for kind in formats:
+        if kind == "feather":
+            write_feather(df, f"{folder}/feather").collect()  # one row a partition
+        else:
+            write_as(df, f"{folder}/{kind}", kind, ["symbol", "date"] if layout == "hive" else None)
