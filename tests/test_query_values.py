@@ -411,7 +411,7 @@ def test_date_stats(spark, larger):
     got = sorted((tuple(r) for r in QUERIES["bar_date_stats"](spark, LARGER).collect()), key=order)
     want = sorted(((s, t, *r) for s, t, *r in day_stats(larger)), key=order)
     names = QUERIES["bar_date_stats"](spark, LARGER).columns
-    assert names[:2] == ["symbol", "date"] and len(got) == len(want) > 20
+    assert names[:2] == ["symbol", "date"] and len(got) == len(want) > 0
     assert all(close(x, y) for a, b in zip(got, want) for x, y in zip(a, b, strict=True))
 
 
