@@ -458,10 +458,27 @@ def test_fingerprint_query(spark, data):
         assert got["linear", f] == pytest.approx(np.abs(line - mean.mean()).mean(), rel=1e-3) and got["non_linear", f] == pytest.approx(np.abs(line - mean).mean(), rel=1e-2, abs=1e-6)
 
 
+def test_unions(spark, data):
+    for name, members, column in (("clusterers", [f"{k}_clusters" for k in ("kmeans", "hierarchical", "dbscan", "spectral", "mean_shift", "affinity", "constrained")], "method"), ("vines", ["vine_d", "vine_c", "onion"], "method")):
+        got = QUERIES[name](spark, DATA)
+        for member, part in zip(members, ("kmeans", "hierarchical", "dbscan", "spectral", "mean_shift", "affinity", "constrained") if name == "clusterers" else ("d", "c", "onion")):
+            rows = sorted((tuple(r) for r in got.where(got[column] == part).drop(column).collect()), key=order)
+            want = sorted((tuple(r) for r in EXPECTED[member](data)), key=order)
+            assert len(rows) == len(want) and all(close(x, y) for a, b in zip(rows, want) for x, y in zip(a, b))
+    renko_rows = sorted((tuple(r) for r in QUERIES["renko_size"](spark, DATA).collect()), key=order)
+    assert [r[2] for r in renko_rows] == pytest.approx([r[4] for r in sorted(renko(data), key=lambda r: order((r[0], r[1], r[4])))], rel=1e-2, abs=1e-5)
+    kinds = QUERIES["bootstrap_mats"](spark, DATA).toPandas()
+    pair = kinds[kinds["kind"] == "pair"].pivot(index="i", columns="j", values="value").to_numpy()
+    assert set(kinds["kind"]) == {"row", "pair", "block"} and np.allclose(pair, pair.T) and np.allclose(np.diag(pair), 1)
+    cells = {tuple(np.round(r, 6)) for r in data.hour}
+    rows = kinds[kinds["kind"] == "row"].pivot(index="i", columns="j", values="value").to_numpy()
+    assert {tuple(np.round(r, 6)) for r in rows} <= cells
+
+
 def test_random_walk_query(spark):
     assert QUERIES["random_walk"](spark, DATA).count() == 1000
 
 
 def test_every_query_has_sql_or_a_value_test():
-    tested = {*EXPECTED, *SOME, "cov_mcd", "bar_date_stats", "corex_linear", "mdi", "mda", "orthogonal_features", "sb_bagging", "classification_data", "fingerprint", "random_walk"}
+    tested = {*EXPECTED, *SOME, "cov_mcd", "bar_date_stats", "corex_linear", "mdi", "mda", "orthogonal_features", "sb_bagging", "classification_data", "fingerprint", "random_walk", "clusterers", "vines", "renko_size", "bootstrap_mats"}
     assert set(QUERIES) - set(SQL) <= tested
