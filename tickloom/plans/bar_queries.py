@@ -85,7 +85,8 @@ def bar_row(spark, sf):
 
 def _expected(kind: str, metric: str, prev: int | None):
     def run(spark, sf):
-        return _out(ops.expectation_bars(src.ticks(spark, sf), KEY, ORDER, kind, metric, window=100, exp_num_ticks=30, num_prev_bars=prev, constraints=(10, 200) if prev else None))
+        bars = ops.expectation_bars(src.ticks(spark, sf), KEY, ORDER, kind, metric, window=100, exp_num_ticks=30, num_prev_bars=prev, constraints=(10, 200) if prev else None)
+        return _out(bars.withColumns({c: F.col(c).cast("long") for c in ("volume", "cum_buy_volume")}))
 
     return run
 
