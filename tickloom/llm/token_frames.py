@@ -39,7 +39,8 @@ INDEX = 0x184D2A50
 CACHE = 700_000
 
 _ENCODERS: dict[tuple[str, int], "CachedEncoder"] = {}
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = ".,;:!?|"
 
 
 class CachedEncoder:
@@ -78,36 +79,32 @@ class CachedEncoder:
             found = self.words.encode(block, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, dtype="<u4").tobytes()
             starts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(block) + 1))).tolist()
-            for word, a, b in zip(block, starts, starts[1:]):
-                known[word] = raw[a:b]
+            known.update(zip(block, [raw[a:b] for a, b in zip(starts, starts[1:])], strict=True))
 
     def _learn(self, new: set[str]) -> None:
         """Fills ``parts`` for ``new``; what the generation before knew is taken over, not encoded again."""
         parts, old = self.parts, self.old_parts
+        if old:
+            again = new & old.keys()
+            parts.update({part: old[part] for part in again})
+            new = new - again
         plain, rest = [], []
         for part in new:
-            if part in old:
-                parts[part] = old[part]
-            elif part.isascii() and part.isalpha():
-                plain.append((part, part.lower(), ""))
-            elif m := _PLAIN.fullmatch(part):
-                plain.append((part, m[1].lower(), m[2]))
+            word = part.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or _LETTERS.fullmatch(word)):
+                plain.append((part, word.lower(), part[len(word) :]))
             else:
                 rest.append(part)
         if len(self.known) > CACHE:
             self.old_known, self.known = self.known, {"": b""}
         known, old = self.known, self.old_known
-        missing = set()
-        for _, word, marks in plain:
-            for x in (word, marks):
-                if x not in known:
-                    if x in old:
-                        known[x] = old[x]
-                    else:
-                        missing.add(x)
+        missing = {x[1] for x in plain}.union([x[2] for x in plain]).difference(known)
+        if old:
+            again = missing & old.keys()
+            known.update({x: old[x] for x in again})
+            missing -= again
         self._learn_words(list(missing))
-        for part, word, marks in plain:
-            parts[part] = known[word] + known[marks] if marks else known[word]
+        parts.update({part: known[word] + known[marks] if marks else known[word] for part, word, marks in plain})
         for at in range(0, len(rest), 512):
             block = rest[at : at + 512]
             for part, found in zip(block, self.whole.encode_batch_fast(block, add_special_tokens=False), strict=True):
