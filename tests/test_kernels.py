@@ -157,6 +157,46 @@ def test_wealth_of_sequential_portfolios():
     assert extras.pattern_matching(even, 3)[-1] == pytest.approx(1.01**10)
 
 
+@pytest.mark.parametrize("kind", ["plain", "symmetric", "functional"])
+def test_pattern_matching_row_by_row(kind):
+    x = np.random.default_rng(14).uniform(0.85, 1.2, size=(25, 2))
+    own, shares = extras.PatternMatching(2, 3, 0.2, kind, 2.0), np.linspace(0, 1, 2001)
+    for t, row in enumerate(x):
+        own.step(row)
+        seen = x[: t + 1]
+        v, after = [], []
+        for s in range(3, t + 1):  # rows that a whole window precedes
+            a, b = seen[s - 3 : s].ravel(), seen[-3:].ravel()
+            c = np.corrcoef(a, b)[0, 1] if len(a) == 6 else 0
+            lift = 1 / (1 + math.exp(-2 * (abs(c) - 0.2))) if kind == "functional" else 1.0
+            if c >= 0.2 or (kind != "plain" and c <= -0.2):
+                v.append(lift if c > 0 else -lift)
+                after.append(seen[s])
+        if not v:
+            assert np.allclose(own.w, 0.5)
+            continue
+        gain = lambda w: float(np.array(v) @ np.log(np.array(after) @ w))  # noqa: E731, B023
+        best = max(gain(np.array([p, 1 - p])) for p in shares)
+        # Growth that shuns rows has several peaks: the start's own is found there.
+        assert gain(own.w) >= (best - 1e-4 if kind == "plain" else gain(np.array([0.5, 0.5])) - 1e-9)
+    with pytest.raises(ValueError):
+        extras.PatternMatching(2, kind="odd")
+
+
+def test_parts_of_ordered_rows(spark):
+    from tickloom.operators import market
+
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    count = lambda pdf: pdf.assign(n=len(pdf), first=pdf["k"].min())[["k", "n", "first"]]
+    even = market.map_parts(df, ["k"], 4, count, "k long, n long, first long").collect()
+    assert sorted(r["k"] for r in even) == list(range(1000)) and len({r["first"] for r in even}) == 4 and max(r["n"] for r in even) < 400
+    slanted = market.map_parts(df, ["k"], 4, count, "k long, n long, first long", True).collect()
+    work = {}
+    for r in slanted:
+        work[r["first"]] = work.get(r["first"], 0) + r["k"]
+    assert sorted(r["k"] for r in slanted) == list(range(1000)) and len(work) == 4 and max(work.values()) < 2 * min(work.values())
+
+
 def test_adf_of_a_window():
     y = np.cumsum(np.random.default_rng(9).normal(size=60))
     x, d = np.column_stack([y[:-1], np.ones(59), np.arange(59)]), np.diff(y)

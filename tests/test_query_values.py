@@ -363,6 +363,8 @@ EXPECTED = {
     "olps_bcrp": path(lambda x: np.cumprod(x @ extras.best_constant(x))),
     "olps_cwmr": path(extras.confidence_weighted),
     "olps_corn": path(extras.pattern_matching),
+    "olps_scorn": path(lambda x: extras.pattern_matching(x, kind="symmetric")),
+    "olps_fcorn": path(lambda x: extras.pattern_matching(x, kind="functional")),
     "cv_score": lambda d: list(enumerate(fold_scores(d, FEATURES))),
     "sfi": importance_of_one,
     "pca_importance": lambda d: list(evaluate.pca_importance(pooled(d)[FEATURES].corr().to_numpy(), len(pooled(d)), np.array([0.5, 0.3, 0.2])).items()),

@@ -135,20 +135,71 @@ def confidence_weighted(x: np.ndarray, eps: float = 0.5, confidence: float = 1.9
     return np.array(out)
 
 
-def pattern_matching(x: np.ndarray, window: int = 5, rho: float = 0.1) -> np.ndarray:
-    """Wealth of correlation-driven pattern matching: the best constant weights over rows that followed similar windows."""
-    n, k = x.shape
-    w, wealth, out = np.full(k, 1 / k), 1.0, []
-    past = np.lib.stride_tricks.sliding_window_view(x, window, axis=0).reshape(-1, window * k) if n >= window else np.empty((0, window * k))
-    past = past - past.mean(1, keepdims=True)
-    size = np.sqrt((past**2).sum(1, keepdims=True))
-    past = np.divide(past, size, out=np.full_like(past, np.nan), where=size > 0)  # row s: the window before row s + window of x
-    for t in range(n):
-        wealth *= float(w @ x[t])
+def weighted_growth(x: np.ndarray, v: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Long-only weights of the largest ``sum v log(x @ w)``; negative ``v`` shun rows. Projected ascent with a step that halves until it gains."""
+    w, rate = np.full(x.shape[1], 1 / x.shape[1]), 1.0
+    gain = lambda u: float(v @ np.log(np.maximum(x @ u, 1e-12)))
+    now = gain(w)
+    for _ in range(steps):
+        slope = (x * (v / np.maximum(x @ w, 1e-12))[:, None]).sum(0) / max(np.abs(v).sum(), 1e-12)
+        while rate > 1e-9:
+            new = simplex(w + rate * slope)
+            if (then := gain(new)) >= now:
+                break
+            rate /= 2
+        else:
+            break
+        if np.abs(new - w).max() < 1e-9:
+            break
+        w, now, rate = new, then, min(rate * 2, 10.0)
+    return w
+
+
+class PatternMatching:
+    """Correlation-driven weights: the largest growth over past rows that followed windows like the last one.
+
+    ``plain`` takes windows of a correlation of at least ``rho``; ``symmetric`` also shuns rows that followed windows of at most ``-rho``;
+    ``functional`` weighs both by how far a sigmoid of steepness ``lam`` lifts their correlation beyond the threshold. Keeps all past rows.
+    """
+
+    def __init__(self, k: int, window: int = 5, rho: float = 0.1, kind: str = "plain", lam: float = 1.0):
+        if kind not in ("plain", "symmetric", "functional"):
+            raise ValueError(f"unknown kind {kind}")
+        self.w, self.window, self.rho, self.kind, self.lam = np.full(k, 1 / k), window, rho, kind, lam
+        self.rows: list[np.ndarray] = []
+        self.past: list[np.ndarray] = []  # entry s: the standardised window before row s + window
+
+    def step(self, row: np.ndarray) -> None:
+        self.rows.append(row)
+        t, k = len(self.rows), len(row)
+        if t < self.window:
+            return
+        last = np.concatenate([self.rows[s] for s in range(t - self.window, t)])
+        last = last - last.mean()
+        size = math.sqrt(float(last @ last))
+        last = last / size if size > 0 else np.full(len(last), np.nan)
+        if self.past:
+            alike = np.array(self.past) @ last
+            after = np.array(self.rows[self.window : self.window + len(self.past)])
+            near, far = alike >= self.rho, (alike <= -self.rho) & (self.kind != "plain")
+            if self.kind == "plain":
+                self.w = weighted_growth(after[near], np.ones(int(near.sum()))) if near.any() else np.full(k, 1 / k)
+            elif (near | far).any():
+                lift = (1 / (1 + np.exp(-self.lam * (np.abs(alike) - self.rho)))) if self.kind == "functional" else np.ones(len(alike))
+                v = np.where(near, lift, 0.0) - np.where(far, lift, 0.0)
+                self.w = weighted_growth(after[near | far], v[near | far])
+            else:
+                self.w = np.full(k, 1 / k)
+        self.past.append(last)
+
+
+def pattern_matching(x: np.ndarray, window: int = 5, rho: float = 0.1, kind: str = "plain", lam: float = 1.0) -> np.ndarray:
+    """Its wealth, row by row."""
+    own, wealth, out = PatternMatching(x.shape[1], window, rho, kind, lam), 1.0, []
+    for row in x:
+        wealth *= float(own.w @ row)
         out.append(wealth)
-        if t + 1 > window:
-            alike = window + np.nonzero(past[: t + 1 - window] @ past[t + 1 - window] >= rho)[0]
-            w = best_constant(x[alike], 60) if len(alike) else np.full(k, 1 / k)
+        own.step(row)
     return np.array(out)
 
 

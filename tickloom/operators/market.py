@@ -105,14 +105,29 @@ def symbols_wide(df: DataFrame, time: str, symbols: list, metric: str = "close")
 
 
 def map_parts(df: DataFrame, order: list[str], parts: int, kernel, schema: str, triangular: bool = False) -> DataFrame:
-    """``kernel(rows)`` over ``parts`` stretches of the ordered rows, of equal counts or (triangular) of equal work where row k costs k."""
-    from pyspark.sql import Window
+    """``kernel(rows)`` over about ``parts`` stretches of the ordered rows, of equal counts or (triangular) of equal work where row k costs k.
+
+    Rows are dealt by ranges of ``order``, so a stretch is one task's rows and nothing is numbered in one place. Triangular stretches
+    are runs of finer ranges that end where the square of their share reaches a whole part.
+    """
+    import math
+
+    import pandas as pd
 
     from ..session import reachable
-    from .extras import linear_parts, triangular_parts
 
-    bounds = (triangular_parts if triangular else linear_parts)(df.count(), parts)
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1  # narrow use: rows are numbered once
-    part = sum((F.when(F.col("_k") >= b, 1).otherwise(0) for b in bounds[1:-1]), F.lit(0))
     reachable(df.sparkSession)
-    return df.withColumn("_k", place).withColumn("_part", part).groupBy("_part").applyInPandas(lambda pdf: kernel(pdf.sort_values("_k").drop(columns=["_k", "_part"])), schema)
+    if not triangular:
+
+        def run(batches):
+            rows = [b for b in batches if len(b)]
+            if rows:
+                yield kernel(pd.concat(rows, ignore_index=True))
+
+        return df.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(run, schema)
+    fine = 8 * parts
+    ends = [math.sqrt((k + 1) / parts) for k in range(parts)]
+    share = (F.spark_partition_id() + 1) / fine
+    part = sum((F.when(share > e + 1e-12, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
+    dealt = df.repartitionByRange(fine, *order).withColumn("_part", part)
+    return dealt.groupBy("_part").applyInPandas(lambda pdf: kernel(pdf.drop(columns="_part").sort_values(order, ignore_index=True)), schema)

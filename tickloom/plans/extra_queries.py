@@ -158,3 +158,5 @@ def olps_cwmr(spark, sf):
 
 
 _wealth("olps_corn", ex.pattern_matching)
+_wealth("olps_scorn", lambda x: ex.pattern_matching(x, kind="symmetric"))
+_wealth("olps_fcorn", lambda x: ex.pattern_matching(x, kind="functional"))
