@@ -121,7 +121,7 @@ class CachedEncoder:
             if len(self.parts) > CACHE:
                 self.old_parts, self.parts = self.parts, {"": b""}
             known = self.parts
-            new = {x for x in set().union(*split) if x not in known}
+            new = set().union(*split).difference(known)
             if new:
                 self._learn(new)
             get = self.parts.__getitem__
