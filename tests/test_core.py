@@ -157,5 +157,5 @@ def test_pattern_matching_equals_pairwise_correlations():
         want.append(wealth)
         if t + 1 > 5:
             alike = [s for s in range(5, t + 1) if np.corrcoef(x[t - 4 : t + 1].ravel(), x[s - 5 : s].ravel())[0, 1] >= 0.1]
-            w = extras.best_constant(x[alike], 60) if alike else np.full(3, 1 / 3)
-    assert np.allclose(extras.pattern_matching(x), want)
+            w = extras.best_constant(x[alike], 200_000, 1e-9) if alike else np.full(3, 1 / 3)
+    assert np.allclose(extras.pattern_matching(x), want, atol=2e-3)  # two solvers of one optimum

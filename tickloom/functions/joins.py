@@ -18,11 +18,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     before = (not strict) != forward
     stream = left.withColumn("_asof_at", F.col(left_time)).withColumn("_asof_left", F.lit(True)).unionByName(right.withColumn("_asof_left", F.lit(False)), allowMissingColumns=True)
     stream = stream.withColumn("_asof_order", F.when(F.col("_asof_left"), 1).otherwise(0 if before else 2))
-    over = Window.partitionBy(*keys).orderBy("_asof_at", "_asof_order")
-    if forward:
-        found = F.first("_asof_row", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("_asof_row", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    # Going forward the order is turned round, so that the frame grows row by row either way.
+    order = [F.col(c).desc() if forward else F.col(c).asc() for c in ("_asof_at", "_asof_order")]
+    over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_asof_row", ignorenulls=True).over(over)
     out = stream.withColumn("_asof_found", found).where("_asof_left")
     return out.select(*left.columns, *[F.col(f"_asof_found.{c}").alias(c) for c in columns])
 

@@ -22,7 +22,8 @@ def chow_dfc(df: DataFrame, keys: list[str], time: str, value: str, least: int)
     """
     over = ordered(keys, [time])
     df = df.withColumn("_x", F.lag(value).over(over)).withColumn("_d", F.col(value) - F.lag(value).over(over)).where("_x IS NOT NULL")
-    after, every = over.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy(*keys)
+    # Sums of later rows: the order turned round, so that the frame grows row by row.
+    after, every = Window.partitionBy(*keys).orderBy(F.col(time).desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
     x, d = F.col("_x"), F.col("_d")
     df = df.withColumns({"_xy": F.sum(x * d).over(after), "_xx": F.sum(x * x).over(after), "_yy": F.sum(d * d).over(every), "_n": F.count(F.lit(1)).over(every), "_k": F.row_number().over(over)})
     b = F.try_divide("_xy", "_xx")

@@ -87,9 +87,10 @@ def adjusted_p(df: DataFrame, name: str, p: str) -> DataFrame:
     over = every.orderBy(p, name)
     n = F.count(F.lit(1)).over(every)
     rows = df.withColumns({"_n": n, "_k": F.row_number().over(over) - 1}).withColumn("_c", F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_n")), lambda i: 1.0 / i), F.lit(0.0), lambda a, x: a + x))
+    back = every.orderBy(F.col(p).desc(), F.col(name).desc()).rowsBetween(Window.unboundedPreceding, 0)
     one = lambda c: F.least(F.lit(1.0), c)
     rows = rows.withColumn("bonferroni", one(F.col(p) * F.col("_n"))).withColumn("holm", one(F.max((F.col("_n") - F.col("_k")) * F.col(p)).over(over.rowsBetween(Window.unboundedPreceding, 0))))
-    return rows.withColumn("bhy", one(F.min(F.col(p) * F.col("_n") * F.col("_c") / (F.col("_k") + 1)).over(over.rowsBetween(0, Window.unboundedFollowing)))).drop("_n", "_k", "_c")
+    return rows.withColumn("bhy", one(F.min(F.col(p) * F.col("_n") * F.col("_c") / (F.col("_k") + 1)).over(back))).drop("_n", "_k", "_c")
 
 
 def best_constant(x: np.ndarray, steps: int = 5000, tol: float = 1e-7) -> np.ndarray:
@@ -151,7 +152,7 @@ def weighted_growth(x: np.ndarray, v: np.ndarray, steps: int = 200) -> np.ndarra
             break
         if np.abs(new - w).max() < 1e-9:
             break
-        w, now, rate = new, then, min(rate * 2, 10.0)
+        w, now, rate = new, then, min(rate * 2, 1e6)
     return w
 
 
