@@ -36,7 +36,7 @@ SEEKABLE = 0x8F92EAB1
 #: Our document index sits in another skippable frame.
 INDEX = 0x184D2A50
 #: Entries of one generation of a worker's parts and of its words; two generations are kept.
-CACHE = 700_000
+CACHE = 900_000
 
 _ENCODERS: dict[tuple[str, int], "CachedEncoder"] = {}
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
