@@ -26,6 +26,23 @@ def log_ratio(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.ln(F.try_divide(a, b)))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b as floating-point numbers have it: infinite, or NaN for 0 / 0, where ``b`` is 0."""
+    b = b.cast("double")
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def log_quotient(a: Column, b: Column) -> Column:
+    """ln(a / b) as floating-point numbers have it: infinite where one is 0, NaN where both are or the signs differ."""
+    q = quotient(a, b)
+    return F.when(q > 0, F.ln(q)).when(q == 0, F.lit(float("-inf"))).when(q < 0, F.lit(float("nan")))
+
+
+def round_scaled(x: Column, n: int) -> Column:
+    """DuckDB's round of doubles: x times 10^n to the nearest whole number, halves away from zero, and back."""
+    return F.round(x * F.lit(float(10**n))) / F.lit(float(10**n))
+
+
 def ranks(value: Column, over_value, over_peers) -> Column:
     """Average ranks: ties share the mean of their places."""
     return F.rank().over(over_value) + (F.count(F.lit(1)).over(over_peers) - 1) / 2.0

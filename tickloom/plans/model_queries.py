@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.stats import round_scaled
 from ..functions.windows import ordered
 from ..operators import allocation as al
 from ..operators import backtest as bt
@@ -386,7 +387,8 @@ def bar_impacts(spark, sf):
     ticks = src.ticks(spark, sf)
     ends = ba.tick_bars(ticks, KEY, ["us", "seq"], 50).select("symbol", "tick_num")
     rows = micro.bar_microstructure(ticks, ends, KEY, ["us", "seq"])
-    return rows.select("symbol", "tick_num", "date_time", _r("avg_tick_size"), "tick_rule_sum", _r("vwap", 5), _r("kyle_lambda", 5), _r("kyle_t", 3), _r("amihud_lambda", 7), _r("amihud_t", 3), _r("hasbrouck_lambda", 7), _r("hasbrouck_t", 3))
+    r = lambda c, n: round_scaled(F.col(c), n).alias(c)
+    return rows.select("symbol", "tick_num", "date_time", r("avg_tick_size", 6), "tick_rule_sum", r("vwap", 5), r("kyle_lambda", 5), r("kyle_t", 3), r("amihud_lambda", 7), r("amihud_t", 3), r("hasbrouck_lambda", 7), r("hasbrouck_t", 3))
 
 
 @query("matrix_flags")
