@@ -9,6 +9,7 @@ from tickloom.plans.all_queries import QUERIES, SQL
 NAMES = [
     "bar_impacts",
     "corwin_schultz",
+    "bekker_parkinson",
 ]
 
 
