@@ -11,6 +11,7 @@ NAMES = [
     "corwin_schultz",
     "bekker_parkinson",
     "range_volatility",
+    "garman_klass_vol",
 ]
 
 
