@@ -12,6 +12,7 @@ NAMES = [
     "bekker_parkinson",
     "range_volatility",
     "garman_klass_vol",
+    "parkinson_vol",
 ]
 
 
