@@ -13,6 +13,7 @@ NAMES = [
     "range_volatility",
     "garman_klass_vol",
     "parkinson_vol",
+    "yang_zhang_vol",
 ]
 
 
