@@ -15,6 +15,7 @@ NAMES = [
     "parkinson_vol",
     "yang_zhang_vol",
     "trade_lambdas",
+    "trade_amihud",
 ]
 
 
