@@ -16,6 +16,7 @@ NAMES = [
     "yang_zhang_vol",
     "trade_lambdas",
     "trade_amihud",
+    "trade_hasbrouck",
 ]
 
 
