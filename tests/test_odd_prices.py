@@ -45,3 +45,36 @@ def test_matches_sql_on_odd_prices(spark, odd, name):
     rows = got.collect()
     assert any(isinstance(x, float) and not math.isfinite(x) for r in found for x in r)
     assert sorted(tuple(map(text, r)) for r in rows) == sorted(tuple(map(text, r)) for r in found)
+
+
+def test_threshold_bars_add_tick_by_tick():
+    """Bars of one batch and of many small ones are those of a plain loop, however near the threshold a sum comes and however much came before."""
+    import numpy as np
+    import pandas as pd
+
+    from tickloom.operators.bars import _Threshold
+
+    rng = np.random.default_rng(3)
+    near = [2500.0] * 9000 + ([2500.0] * 19 + [2499.99, 0.01]) * 20  # late bars that are a cent short at their 20th tick
+    missing = [1.0, 2.0, 4.0, 1.0, -np.inf, 9.0, 9.0]
+    for values, threshold in ((near, 50000.0), ([0.1] * 500, 1.0), (rng.integers(0, 9, 3000) / 10, 1.0), (rng.integers(-5, 9, 3000) / 10, 3.0), ([5.0, 1.0], 0.0), (missing, 5.0)):
+        want, total, bar = [], 0.0, 0
+        for v in values:
+            total += v
+            want.append((bar, total >= threshold))
+            if total >= threshold:
+                total, bar = 0.0, bar + 1
+        rows = pd.DataFrame({"i": range(len(values)), "m": values})
+        for size in (len(rows), 7):
+            kernel = _Threshold((), threshold, "m", ["i"])
+            got = pd.concat([kernel.feed(rows[k : k + size]) for k in range(0, len(rows), size)])
+            assert list(zip(got["bar"].tolist(), got["done"].tolist())) == want and got["i"].tolist() == rows["i"].tolist()
+
+
+def test_dollar_bars_just_short_of_the_threshold(spark):
+    from tickloom.operators import bars
+
+    prices = [2500.0] * 9000 + [2500.0] * 19 + [2499.99, 0.5]
+    ticks = spark.createDataFrame([("a", i, i, p, 1) for i, p in enumerate(prices)], "symbol string, us long, seq long, price double, volume long")
+    got = bars.dollar_bars(ticks, ["symbol"], ["us", "seq"], 50000).orderBy("tick_num").collect()
+    assert len(got) == 451 and (got[-1]["tick_num"], got[-1]["cum_ticks"], got[-1]["close"]) == (9021, 21, 0.5)

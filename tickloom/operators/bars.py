@@ -37,12 +37,12 @@ def imbalance_net(ticks: DataFrame, keys: list[str]) -> DataFrame:
     return ticks.groupBy(*keys).agg(F.sum(s).alias("tick_imbalance"), F.sum(s * v).alias("volume_imbalance"), F.sum(s * v * p).alias("dollar_imbalance"))
 
 
-def bar_rows(ticks: DataFrame, keys: list[str], order: str, bar: str) -> DataFrame:
-    """One row a bar of ticks that have ``side`` and ``tick_num``."""
+def bar_rows(ticks: DataFrame, keys: list[str], order: str, bar: str, *more: Column) -> DataFrame:
+    """One row a bar of ticks that have ``side`` and ``tick_num``, with ``more`` aggregates."""
     dollars = F.col("price") * F.col("volume")
     return ticks.groupBy(*keys, bar).agg(
         F.max(order).alias("date_time"), F.max("tick_num").alias("tick_num"), F.min_by("price", "tick_num").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "tick_num").alias("close"),
-        F.sum("volume").alias("volume"), F.sum(F.when(F.col("side") == 1, F.col("volume")).otherwise(0)).alias("cum_buy_volume"), F.count(F.lit(1)).alias("cum_ticks"), F.sum(dollars).alias("cum_dollar_value"),
+        F.sum("volume").alias("volume"), F.sum(F.when(F.col("side") == 1, F.col("volume")).otherwise(0)).alias("cum_buy_volume"), F.count(F.lit(1)).alias("cum_ticks"), F.sum(dollars).alias("cum_dollar_value"), *more,
     )
 
 
@@ -64,44 +64,44 @@ def time_bars(ticks: DataFrame, keys: list[str], order: list[str], seconds: int)
 
 
 class _Threshold(Kernel):
-    """Bar numbers by a sum that is reset where it reaches the threshold; jumps by binary search."""
+    """Bar numbers by a sum, taken tick by tick, that is reset where it reaches the threshold; ``done`` at the ticks that reach it."""
 
     def __init__(self, key: tuple, threshold: float, metric: str, columns: list[str]):
         self.threshold, self.metric, self.columns = threshold, metric, columns
-        self.sum, self.bar = 0.0, 0
+        self.sum, self.bar, self.length = 0.0, 0, 1
 
     def feed(self, rows: pd.DataFrame) -> pd.DataFrame:
         values = rows[self.metric].to_numpy(float)
-        total = np.cumsum(values)
-        bar = np.empty(len(values), np.int64)
-        at, base = 0, -self.sum
+        bar, done = np.empty(len(values), np.int64), np.zeros(len(values), bool)
+        at = 0
         while at < len(values):
-            end = int(np.searchsorted(total, base + self.threshold - 1e-9 * max(1.0, abs(base)), side="left")) if self.threshold > 0 else at
-            end = max(end, at)
-            if end >= len(values):
-                bar[at:] = self.bar
-                break
-            bar[at : end + 1] = self.bar
-            self.bar += 1
-            base, at = total[end], end + 1
-        self.sum = float(total[-1] - base)
-        return rows[self.columns].assign(bar=bar)
+            start, size = at, 2 * self.length  # about the bar before's length first, twice as much each time
+            while at < len(values):
+                # The sum so far goes before the values, so that rounding is that of adding one tick after another.
+                total = np.cumsum(np.concatenate([[self.sum], values[at : at + size]]))[1:]
+                reached = ~(total < self.threshold)  # NaN is past any threshold
+                if reached.any():
+                    at += int(reached.argmax()) + 1
+                    done[at - 1] = True
+                    break
+                self.sum, at, size = float(total[-1]), at + len(total), 2 * size
+            bar[start:at] = self.bar
+            if done[at - 1]:
+                self.sum, self.bar, self.length = 0.0, self.bar + 1, at - start
+        return rows[self.columns].assign(bar=bar, done=done)
 
 
 def metric_bars(ticks: DataFrame, keys: list[str], order: list[str], metric: Column, threshold: float) -> DataFrame:
-    """Bars that close where the summed (non-negative) metric reaches the threshold; the excess is discarded, the open last bar dropped."""
-    rows = numbered(with_side(ticks, keys, order), keys, order).withColumn("_metric", metric.cast("double"))
-    columns = [c for c in rows.columns if c != "_metric"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_metric") + ", bar long, _metric double"
-    folded = ordered_fold(rows, keys, order, lambda key: _Threshold(key, threshold, "_metric", [*columns, "_metric"]), _reorder(schema, columns))
-    full = folded.groupBy(*keys, "bar").agg(F.sum("_metric").alias("_sum"))
-    out = bar_rows(folded, keys, order[0], "bar").join(full, [*keys, "bar"])
-    return out.where(F.col("_sum") >= threshold * (1 - 1e-12)).drop("_sum")
-
+    """Bars that close where the summed metric reaches the threshold; the excess is discarded, the open last bar dropped.
 
-def _reorder(schema: str, columns: list[str]) -> str:
-    parts = dict(p.rsplit(" ", 1) for p in schema.split(", "))
-    return ", ".join(f"{c} {parts[c]}" for c in [*(f"`{c}`" for c in columns), "_metric", "bar"])
+    After a missing metric the sum is missing too, and no bar closes.
+    """
+    rows = numbered(with_side(ticks, keys, order), keys, order).withColumn("_metric", F.coalesce(metric.cast("double"), F.lit(float("-inf"))))
+    columns = [c for c in rows.columns if c != "_metric"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_metric") + ", bar long, done boolean"
+    folded = ordered_fold(rows, keys, order, lambda key: _Threshold(key, threshold, "_metric", columns), schema)
+    closed = F.max(F.when(F.col("done"), F.col("tick_num"))).alias("_closed")
+    return bar_rows(folded, keys, order[0], "bar", closed).where("_closed IS NOT NULL").drop("_closed")
 
 
 def volume_bars(ticks: DataFrame, keys: list[str], order: list[str], threshold: float = 70_000_000) -> DataFrame:
