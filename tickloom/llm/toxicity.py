@@ -22,18 +22,20 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, saved, unused, whole_text
-from .labelled import fold, labelled_sample
+from .labelled import fold, labelled_rows
 
-#: Labelled rows that are fitted on, at most.
-TRAIN_ROWS = 6000
+#: Words known: in so many training rows and so large a share of them, of all or of toxic ones. The shares bound the dictionary, whatever the rows.
+KNOWN_ROWS, KNOWN_SHARE, KNOWN_TOXIC = 20, 1 / 300, 1 / 3000
+#: Words and beginnings that a worker counts before it passes the counts on.
+COUNTED = 500_000
 #: Weight of the overall toxic share in a word's share, toxic rows a word needs, least share that counts.
 PRIOR_ROWS, LEAST_ROWS, LEAST_SHARE = 0.5, 2, 0.88
 #: Log costs of the channel: a sign for a letter, a separator dropped, a repeat dropped, another sign dropped.
@@ -217,32 +219,71 @@ class ToxicModel:
         return 1.0 - rest
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: Column | None = None) -> ToxicModel:
-    """Learns shares and the character model from a bounded sample of labelled rows outside the held-out fold."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column | None = None) -> ToxicModel:
+    """Learns shares and the character model from all labelled rows outside the held-out fold.
+
+    Every word and beginning is counted. What reaches the driver is the dictionary (a word in 1 of 300 rows, so at most 300 times
+    the words of a mean text), the words whose share chance does not explain, and the numbers of words by rows they are in.
+    """
     bounded_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold(3) != 1 if keep is None else keep, rows, once=True)
+    rows = labelled_rows(docs, labels, "toxic", fold(3) != 1 if keep is None else keep)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean, n = Counter(), Counter(), [0, 0]
+        toxic, clean = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = [*(toxic.keys() | clean.keys())]
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "toxic": pa.array([toxic[k] for k in keys], pa.int64()), "clean": pa.array([clean[k] for k in keys], pa.int64())})
+
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[label > 0] += 1
-                (toxic if label > 0 else clean).update(features(set(_WORD.findall(text.lower()))))
-        keys = [*(toxic.keys() | clean.keys()), ""]
-        yield pa.RecordBatch.from_pydict({"key": keys, "toxic": pa.array([toxic[k] for k in keys[:-1]] + [n[1]], pa.int64()), "clean": pa.array([clean[k] for k in keys[:-1]] + [n[0]], pa.int64())})
-
-    counts = sample.mapInArrow(count, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+                (toxic if label > 0 else clean).update({"", *features(set(_WORD.findall(text.lower())))})  # the empty key counts rows
+                if len(toxic) + len(clean) > COUNTED:
+                    yield counted()
+                    toxic.clear()
+                    clean.clear()
+        yield counted()
+
+    counts = rows.select("label", "text").mapInArrow(count, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = saved(counts, "toxic-counts")
-    levels = [(r["toxic"], r["clean"], r["count"]) for r in counts.where("key <> ''").groupBy("toxic", "clean").count().collect()]
-    kept = counts.where(f"key = '' OR toxic >= {LEAST_ROWS} OR toxic + clean >= 20").collect()  # of a bounded sample
-    totals = next(((r["toxic"], r["clean"]) for r in kept if r["key"] == ""), (0, 0))
-    base = totals[0] / max(1, sum(totals))
-    shares = word_shares([(r["key"], r["toxic"], r["clean"]) for r in kept if r["key"] and r["toxic"] >= LEAST_ROWS], levels, base)
-    return ToxicModel(shares, {r["key"]: r["toxic"] + r["clean"] for r in kept if r["key"] and not r["key"][0].isdigit()})
+    totals = next(((r["toxic"], r["clean"]) for r in counts.where("key = ''").collect()), (0, 0))
+    n, base = sum(totals), totals[0] / max(1, sum(totals))
+    counts = counts.where("key <> ''")
+    seen = F.col("toxic") + F.col("clean")
+    high = (F.col("toxic") >= LEAST_ROWS) & (F.col("toxic") + PRIOR_ROWS * base >= (LEAST_SHARE - 1e-9) * (seen + PRIOR_ROWS))
+    levels = counts.groupBy("toxic", "clean").count().withColumn("high", F.max(high).over(Window.partitionBy(seen))).where("high")
+    levels = [(r["toxic"], r["clean"], r["count"]) for r in levels.collect()]
+    by_level = word_shares([((t, c), t, c) for t, c, _ in levels if t >= LEAST_ROWS], levels, base)
+    known = (seen >= max(KNOWN_ROWS, n * KNOWN_SHARE)) | (F.col("toxic") >= max(LEAST_ROWS, n * KNOWN_TOXIC))
+    words = {r["key"]: r["toxic"] + r["clean"] for r in counts.where(known).collect()}
+    shares = {}
+    if by_level:
+        real = docs.sparkSession.createDataFrame([*by_level], "toxic long, clean long")
+        found = {r["key"]: (r["toxic"], r["clean"]) for r in counts.join(F.broadcast(real), ["toxic", "clean"]).collect()}
+        apart = _apart(rows, set(found))
+        real = word_shares([(k, *apart.get(k, (0, 0))) for k in found], levels, base)
+        shares = {k: by_level[found[k]] for k in real}
+        words |= {k: sum(found[k]) for k in real}
+    return ToxicModel(shares, {k: v for k, v in words.items() if not k[0].isdigit()})
+
+
+def _apart(rows: DataFrame, keys: set[str]) -> dict[str, tuple[int, int]]:
+    """Toxic and clean rows of each word or beginning, near copies counted about once: the median of the numbers of different values of each minimum."""
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(k, label > 0, m) for label, text, m in zip(*[c.to_pylist() for c in batch.columns], strict=True) for k in features(set(_WORD.findall(text.lower()))) & keys]
+            yield pa.RecordBatch.from_pydict({"key": pa.array([x[0] for x in out], pa.string()), "toxic": pa.array([x[1] for x in out], pa.bool_()), "minima": pa.array([x[2] for x in out], pa.list_(pa.int64()))})
+
+    found = rows.select("label", "text", "minima").mapInArrow(hits, "key string, toxic boolean, minima array<long>")
+    found = found.select("key", "toxic", F.posexplode("minima").alias("k", "least")).distinct().groupBy("key", "toxic", "k").count()
+    found = found.groupBy("key", "toxic").agg(F.percentile("count", 0.5).alias("n"))
+    n = {(r["key"], r["toxic"]): int(r["n"]) for r in found.collect()}
+    return {k: (n.get((k, True), 0), n.get((k, False), 0)) for k in keys}
 
 
-def word_shares(counts: list[tuple[str, int, int]], levels: list[tuple[int, int, int]], base: float) -> dict[str, float]:
-    """Shares of at least ``LEAST_SHARE`` by word; ``levels`` counts the words seen in so many toxic and clean rows."""
+def word_shares(counts: list[tuple[Hashable, int, int]], levels: list[tuple[int, int, int]], base: float) -> dict[Hashable, float]:
+    """Shares of at least ``LEAST_SHARE`` by word (or other key); ``levels`` counts the words seen in so many toxic and clean rows."""
     by_rows: dict[int, Counter] = {}
     for t, c, n in levels:
         by_rows.setdefault(t + c, Counter())[t] += n
