@@ -10,6 +10,11 @@ def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def ordered_nulls_last(keys: list[str], order: list[str]) -> WindowSpec:
+    """As ``ordered``, but rows without a time or number come last, as in the SQL."""
+    return ordered(keys, [F.col(c).asc_nulls_last() for c in order])
+
+
 def full(value: Column, over: WindowSpec, n: int, counted: Column) -> Column:
     """``value`` over the last ``n`` rows, null until ``n`` non-null values of ``counted`` are there."""
     frame = over.rowsBetween(-(n - 1), 0)
