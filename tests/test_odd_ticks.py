@@ -7,12 +7,14 @@ from tickloom.plans.all_queries import QUERIES, SQL
 #: What is odd: columns of the events in place of the plain ones.
 ODD = {
     "missing times": {"ts": "CASE WHEN i % 23 = 3 THEN NULL ELSE ts END"},
+    "missing prices": {"value": "CASE WHEN i % 23 = 3 THEN NULL ELSE value END"},
     "before 1970": {"ts": "ts - to_days(19731)"},
 }
 CASES = [
     ("bekker_parkinson", "missing times"),
     ("parkinson_vol", "missing times"),
     ("parkinson_vol", "before 1970"),
+    ("garman_klass_vol", "missing prices"),
 ]
 
 
