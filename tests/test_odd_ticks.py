@@ -17,6 +17,7 @@ CASES = [
     ("parkinson_vol", "before 1970"),
     ("garman_klass_vol", "missing prices"),
     ("yang_zhang_vol", "equal times"),
+    ("trade_amihud", "before 1970"),
 ]
 
 

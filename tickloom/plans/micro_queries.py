@@ -52,7 +52,7 @@ SELECT symbol, bar, n, round(kxy / nullif(kxx, 0), 6) AS kyle_lambda, round(kxy
  round(axy / nullif(axx, 0), 8) AS amihud_lambda, round(axy / nullif(axx, 0) / nullif(sqrt(greatest(ayy - axy / nullif(axx, 0) * axy, 0) / nullif(n - 1, 0) / nullif(axx, 0)), 0), 4) AS amihud_t,
  round(hxy / nullif(hxx, 0), 8) AS hasbrouck_lambda, round(hxy / nullif(hxx, 0) / nullif(sqrt(greatest(ayy - hxy / nullif(hxx, 0) * hxy, 0) / nullif(n - 1, 0) / nullif(hxx, 0)), 0), 4) AS hasbrouck_t FROM a WHERE n >= 5""", "t")
 def trade_lambdas(spark, sf):
-    rows = micro.trade_lambdas(ticks(spark, sf).withColumn("bar", F.floor(F.col("us") / 86400000000)), ["symbol"], ["us", "seq"], "bar").where("n >= 5")
+    rows = micro.trade_lambdas(ticks(spark, sf).withColumn("bar", F.expr("us div 86400000000")), ["symbol"], ["us", "seq"], "bar").where("n >= 5")
     return rows.select("symbol", "bar", "n", *_r("kyle_lambda", n=6), *_r("kyle_t", "amihud_t", "hasbrouck_t", n=4), *_r("amihud_lambda", "hasbrouck_lambda"))
 
 
